@@ -51,24 +51,37 @@ def parent_chunks(
         cfg.separators,
         protect_tables,
     )
-    rows = cut.select(
-        F.col(doc_id).cast("string").alias("doc_id"),
-        "strategy",
+    # Section facts join their pieces before the explode, so an exploded row carries one piece and no whole text.
+    def locate(p: Column) -> Column:
+        section = F.element_at("_heads", p["sec"] + 1)
+        return F.struct(
+            section["section_path"].alias("section_path"),
+            p["content"].alias("content"),
+            F.when(tree & section["whole"], section["start"]).otherwise(p["start"]).alias("start_char_index"),
+        )
+
+    heads = F.transform(
         "_sections",
-        F.posexplode("_pieces").alias("parent_no", "_piece"),
+        lambda s: F.struct(
+            s["section_path"].alias("section_path"),
+            s["start"].alias("start"),
+            # A whole section starts where its heading does; a cut one counts from its own start.
+            (F.length(s["content"]) <= cfg.parent_max_chars).alias("whole"),
+        ),
     )
-    section = F.element_at("_sections", F.col("_piece.sec") + 1)
-    whole = F.length(section["content"]) <= cfg.parent_max_chars
+    slim = pin(cut, "_heads", heads).select(
+        F.col(doc_id).cast("string").alias("doc_id"), "strategy", F.transform("_pieces", locate).alias("_pieces")
+    )
+    rows = slim.select("doc_id", "strategy", F.posexplode("_pieces").alias("parent_no", "_piece"))
     return rows.select(
         "doc_id",
         F.concat(
             F.col("doc_id"), F.when(simple, F.lit(":")).otherwise(F.lit(":p")), F.col("parent_no").cast("string")
         ).alias("chunk_id"),
         "parent_no",
-        section["section_path"].alias("section_path"),
-        F.col("_piece.content").alias("content"),
-        # A whole section starts where its heading does; a cut one counts from its own start.
-        F.when(tree & whole, section["start"]).otherwise(F.col("_piece.start")).alias("start_char_index"),
+        "_piece.section_path",
+        "_piece.content",
+        "_piece.start_char_index",
         "strategy",
     )
 

@@ -172,37 +172,50 @@ def normalize_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.length("c").alias("n_chars"), F.sha2("c", 256).alias("digest"))
 
 
-def _split_oracle(size: int, overlap: int) -> str:
-    """SQL for the separators the documents hold (line end, space), then fixed-width cuts."""
-    def level(src: str, out: str, sep: str) -> str:
-        zero = "CAST(0 AS BIGINT)"
-        acc = f"struct_pack(s := '', n := {zero}, buf := '', at := {zero}, pos := {zero}, res := CAST([] AS STRUCT(content VARCHAR, start BIGINT)[]))"
-        part = f"struct_pack(s := p, n := length(p), buf := '', at := {zero}, pos := {zero}, res := CAST([] AS STRUCT(content VARCHAR, start BIGINT)[]))"
+def split_sql(src: str, size: int, out: str) -> str:
+    """CTEs that cut ``src`` (k, content) by the separators the documents hold, then by fixed width.
+
+    The last one is ``out`` (k, content, start, piece_no), without overlap.
+    """
+    zero = "CAST(0 AS BIGINT)"
+    none = "CAST([] AS STRUCT(content VARCHAR, start BIGINT)[])"
+
+    def level(a: str, b: str, sep: str) -> str:
+        def item(s, n):
+            return f"struct_pack(s := {s}, n := {n}, buf := '', at := {zero}, pos := {zero}, res := {none})"
+
         return f"""
- {out}p AS (SELECT doc_id, content, start, string_split(content, {sep}) AS raw FROM {src} WHERE length(content) > {size} AND contains(content, {sep})),
- {out}q AS (SELECT doc_id, start, list_transform(raw, lambda p, i: CASE WHEN i = len(raw) THEN p ELSE p || {sep} END) AS parts FROM {out}p),
- {out}f AS (SELECT doc_id, start, list_reduce(list_transform(parts, lambda p: {part}), lambda a, x: struct_pack(s := '', n := {zero},
+ {b}p AS (SELECT k, content, start, string_split(content, {sep}) AS raw FROM {a} WHERE length(content) > {size} AND contains(content, {sep})),
+ {b}q AS (SELECT k, start, list_transform(raw, lambda p, i: CASE WHEN i = len(raw) THEN p ELSE p || {sep} END) AS parts FROM {b}p),
+ {b}f AS (SELECT k, start, list_reduce(list_transform(parts, lambda p: {item('p', 'length(p)')}), lambda a, x: struct_pack(s := '', n := {zero},
    buf := CASE WHEN x.n > {size} THEN '' WHEN length(a.buf) + x.n <= {size} THEN a.buf || x.s ELSE x.s END,
    at := CASE WHEN length(a.buf) > 0 AND length(a.buf) + x.n <= {size} THEN a.at ELSE a.pos END,
    pos := a.pos + x.n,
    res := CASE WHEN x.n <= {size} AND length(a.buf) + x.n <= {size} THEN a.res
-     ELSE list_concat(a.res, CASE WHEN length(a.buf) > 0 THEN [struct_pack(content := a.buf, start := CAST(a.at AS BIGINT))] ELSE [] END,
-                     CASE WHEN x.n > {size} THEN [struct_pack(content := x.s, start := CAST(a.pos AS BIGINT))] ELSE [] END) END), {acc}) AS a FROM {out}q),
- {out}r AS (SELECT doc_id, start, unnest(CASE WHEN length(a.buf) > 0 THEN list_concat(a.res, [struct_pack(content := a.buf, start := CAST(a.at AS BIGINT))]) ELSE a.res END) AS p FROM {out}f),
- {out} AS (SELECT doc_id, content, start FROM {src} WHERE NOT (length(content) > {size} AND contains(content, {sep}))
-   UNION ALL SELECT doc_id, p.content, start + p.start FROM {out}r)"""
-
-    return f"""WITH l0 AS (SELECT doc_id, text AS content, CAST(0 AS BIGINT) AS start FROM documents WHERE length(text) > 0),
- {level('l0', 'la', "chr(10) || chr(10)")},
- {level('la', 'lb', 'chr(10)')},
- {level('lb', 'lc', "' '")},
- ld AS (SELECT doc_id, content, start FROM lc WHERE length(content) <= {size}
-   UNION ALL SELECT doc_id, substring(content, CAST(o AS BIGINT) + 1, {size}), start + o FROM (SELECT *, unnest(generate_series(0, length(content) - 1, {size})) AS o FROM lc WHERE length(content) > {size})),
- no AS (SELECT *, row_number() OVER w - 1 AS piece_no, lag(content) OVER w AS before, lag(content, 2) OVER w AS before2 FROM ld WINDOW w AS (PARTITION BY doc_id ORDER BY start))
- SELECT doc_id, piece_no, start, sha256(CASE WHEN before IS NULL THEN content ELSE right(coalesce(right(before2, {overlap}), '') || before, {overlap}) || content END) AS digest FROM no"""
-
-
-@query("recursive_split", _split_oracle(300, 50))
+     ELSE list_concat(a.res, CASE WHEN length(a.buf) > 0 THEN [struct_pack(content := a.buf, start := a.at)] ELSE [] END,
+                     CASE WHEN x.n > {size} THEN [struct_pack(content := x.s, start := a.pos)] ELSE [] END) END), {item("''", zero)}) AS a FROM {b}q),
+ {b}r AS (SELECT k, start, unnest(CASE WHEN length(a.buf) > 0 THEN list_concat(a.res, [struct_pack(content := a.buf, start := a.at)]) ELSE a.res END) AS p FROM {b}f),
+ {b} AS (SELECT k, content, start FROM {a} WHERE NOT (length(content) > {size} AND contains(content, {sep}))
+   UNION ALL SELECT k, p.content, start + p.start FROM {b}r)"""
+
+    return f"""{out}0 AS (SELECT k, content, {zero} AS start FROM {src} WHERE length(content) > 0),
+ {level(out + '0', out + 'a', "chr(10) || chr(10)")},
+ {level(out + 'a', out + 'b', 'chr(10)')},
+ {level(out + 'b', out + 'c', "' '")},
+ {out}d AS (SELECT k, content, start FROM {out}c WHERE length(content) <= {size}
+   UNION ALL SELECT k, substring(content, CAST(o AS BIGINT) + 1, {size}), start + o FROM (SELECT *, unnest(generate_series(0, length(content) - 1, {size})) AS o FROM {out}c WHERE length(content) > {size})),
+ {out} AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY start) - 1 AS piece_no FROM {out}d)"""
+
+
+def overlap_sql(whole: str, start: str, content: str, width: int) -> str:
+    return f"substring({whole}, greatest({start} - {width}, 0) + 1, {start} - greatest({start} - {width}, 0)) || {content}"
+
+
+@query(
+    "recursive_split",
+    f"""WITH src AS (SELECT doc_id AS k, text AS content FROM documents), {split_sql('src', 300, 'x')}
+    SELECT k AS doc_id, piece_no, start, sha256({overlap_sql('text', 'start', 'content', 50)}) AS digest FROM x JOIN documents ON doc_id = k""",
+)
 def recursive_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recursive_split(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", 300, 50)
     return rows.select("doc_id", F.posexplode("pieces").alias("piece_no", "p")).select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents
+from quire.plans import documents, retrieval
 
-MODULES = (documents,)
+MODULES = (documents, retrieval)
 
 
 def all_queries() -> dict:
