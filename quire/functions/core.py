@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +65,17 @@ def array_median(items: Column) -> Column:
             / 2
         ),
     )
+
+
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(fn: Callable[..., Column], *args) -> Column:
+    """``fn`` applied to columns given by name, kept for the next plan that needs the same expression.
+
+    A large expression takes seconds to assemble call by call, and it depends on column names only.
+    """
+    key = (fn, args, id(SparkContext._gateway))
+    if key not in _BUILT:
+        _BUILT[key] = fn(*[F.col(a) if isinstance(a, str) else a for a in args])
+    return _BUILT[key]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.core import bind, pin
+from quire.functions.core import bind, built, pin
 from quire.functions.markdown import fence_ranges, headings, overlaps, protected_table_ranges, strip
 from quire.settings import DEFAULTS, Settings
 
@@ -37,15 +37,15 @@ def _append_last(items: Column, suffix: Column) -> Column:
     )
 
 
-def _parts(content: Column, separator: str, start: Column, ranges: Column) -> Column:
+def _parts(content: Column, separator: Column, start: Column, ranges: Column) -> Column:
     """Parts of a text with the separator kept at the part's end; no cut lies in a protected range."""
-    width = len(separator)
+    width = F.length(separator)
 
     def with_end(raw: Column) -> Column:
         return F.transform(
             raw,
             lambda x, i: F.when(i == F.size(raw) - 1, F.struct(x.alias("s"), F.length(x).alias("len"))).otherwise(
-                F.struct(F.concat(x, F.lit(separator)).alias("s"), (F.length(x) + width).alias("len"))
+                F.struct(F.concat(x, separator).alias("s"), (F.length(x) + width).alias("len"))
             ),
         )
 
@@ -82,7 +82,7 @@ def _parts(content: Column, separator: str, start: Column, ranges: Column) -> Co
         )
 
     return bind(
-        bind(F.split(content, rf"\Q{separator}\E", -1), with_end),
+        bind(F.split(content, F.concat(F.lit(r"\Q"), separator, F.lit(r"\E")), -1), with_end),
         lambda parts: F.when(F.size(ranges) == 0, parts).otherwise(glue(parts)),
     )
 
@@ -166,13 +166,13 @@ def _hard_cut(piece: Column, size: Column, ranges: Column) -> Column:
     return F.when(F.size(ranges) == 0, plain).otherwise(moving)
 
 
-def _level(pieces: Column, separator: str, size: Column, ranges: Column) -> Column:
+def _level(pieces: Column, separator: Column, size: Column, ranges: Column) -> Column:
     """One step down: pieces above ``size`` that hold the separator are cut at it and packed again."""
     return F.flatten(
         F.transform(
             pieces,
             lambda p: F.when(
-                (F.length(p["content"]) <= size) | ~F.contains(p["content"], F.lit(separator)), F.array(p)
+                (F.length(p["content"]) <= size) | ~F.contains(p["content"], separator), F.array(p)
             ).otherwise(
                 _pack(_parts(p["content"], separator, p["start"], _of(ranges, p)), p["sec"], p["start"], size)
             ),
@@ -266,6 +266,21 @@ def _overlap(pieces: Column, ranges: Column, width: Column) -> Column:
     return F.when(width <= 0, pieces).otherwise(F.aggregate(pieces, zero, step, lambda acc: acc["out"]))
 
 
+def _code(texts: Column) -> Column:
+    return F.transform(texts, fence_ranges)
+
+
+def _code_and_tables(texts: Column, tables: Column) -> Column:
+    none = F.array().cast(RANGE_TYPE)
+    return F.transform(
+        texts, lambda t: F.concat(fence_ranges(t), F.when(tables, protected_table_ranges(t)).otherwise(none))
+    )
+
+
+def _whole(texts: Column) -> Column:
+    return F.filter(F.transform(texts, lambda t, i: _piece(i, t, F.lit(0))), lambda p: F.length(p["content"]) > 0)
+
+
 def split_sections(
     df: DataFrame,
     sections: Column,
@@ -285,30 +300,21 @@ def split_sections(
     size = F.lit(size) if isinstance(size, int) else size
     overlap = F.lit(overlap) if isinstance(overlap, int) else overlap
 
-    def protected(text: Column) -> Column:
-        if protect_tables is None:
-            return fence_ranges(text)
-        tables = F.when(protect_tables, protected_table_ranges(text)).otherwise(F.array().cast(RANGE_TYPE))
-        return F.concat(fence_ranges(text), tables)
-
     step = df.withColumn("_size", size).withColumn("_over", overlap)
     step = pin(step, "_texts", sections)
-    step = pin(step, "_ranges", F.transform("_texts", protected))
-    step = pin(
-        step,
-        "_p",
-        F.filter(
-            F.transform("_texts", lambda t, i: _piece(i, t, F.lit(0))), lambda p: F.length(p["content"]) > 0
-        ),
-    )
-    width, ranges, pieces = F.col("_size"), F.col("_ranges"), F.col("_p")
+    if protect_tables is None:
+        step = pin(step, "_ranges", built(_code, "_texts"))
+    else:
+        step = step.withColumn("_tables", protect_tables)
+        step = pin(step, "_ranges", built(_code_and_tables, "_texts", "_tables")).drop("_tables")
+    step = pin(step, "_p", built(_whole, "_texts"))
     for separator in separators:
-        step = pin(step, "_p", _level(pieces, separator, width, ranges))
-    step = pin(step, "_p", _last_level(pieces, width, ranges))
-    step = pin(step, "_p", _join_lone_headings(pieces))
-    step = pin(step, "_p", _join_blank_after_code(pieces, ranges))
-    step = pin(step, out, _overlap(pieces, ranges, F.col("_over")))
-    return step.drop("_texts", "_size", "_over", "_ranges", "_p")
+        step = pin(step.withColumn("_sep", F.lit(separator)), "_p", built(_level, "_p", "_sep", "_size", "_ranges"))
+    step = pin(step, "_p", built(_last_level, "_p", "_size", "_ranges"))
+    step = pin(step, "_p", built(_join_lone_headings, "_p"))
+    step = pin(step, "_p", built(_join_blank_after_code, "_p", "_ranges"))
+    step = pin(step, out, built(_overlap, "_p", "_ranges", "_over"))
+    return step.drop("_texts", "_sep", "_size", "_over", "_ranges", "_p")
 
 
 def recursive_split(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.core import pin
+from quire.functions.core import built, pin
 from quire.functions.markdown import diagnose, strategy
 from quire.functions.splitting import heading_sections, split_sections
 from quire.settings import DEFAULTS, Settings
@@ -13,7 +13,7 @@ from quire.settings import DEFAULTS, Settings
 
 def with_quality(docs: DataFrame, text: str = "text", cfg: Settings = DEFAULTS) -> DataFrame:
     """Add ``quality`` (struct) and ``strategy``."""
-    return pin(docs, "quality", diagnose(F.col(text), cfg)).withColumn("strategy", strategy(F.col("quality")))
+    return pin(docs, "quality", built(diagnose, text, cfg)).withColumn("strategy", strategy(F.col("quality")))
 
 
 def parent_chunks(
@@ -38,7 +38,7 @@ def parent_chunks(
         )
     )
     base = pin(
-        docs, "_sections", F.when(tree, heading_sections(F.col(text), cfg.max_heading_level)).otherwise(plain)
+        docs, "_sections", F.when(tree, built(heading_sections, text, cfg.max_heading_level)).otherwise(plain)
     )
     cut = split_sections(
         base,

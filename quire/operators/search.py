@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 
 from quire.functions.core import pin
 from quire.functions.text import term_counts, tokens
+from quire.session import ship_by_value
 from quire.settings import DEFAULTS, Settings
 
+ship_by_value(__name__)
+
 # Upper bound of what one slice of queries may put on each executor.
 SLICE_ROWS = 4096
 SLICE_BYTES = 32 * 1024 * 1024

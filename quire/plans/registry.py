@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, retrieval
+from quire.plans import documents, evaluation, retrieval
 
-MODULES = (documents, retrieval)
+MODULES = (documents, retrieval, evaluation)
 
 
 def all_queries() -> dict:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +63,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_by_value(module: str) -> None:
+    """Send the task-side functions of a module with the task, so executors need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
