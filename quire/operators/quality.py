@@ -22,7 +22,7 @@ def bigrams(text: Column) -> Column:
                 F.zip_with(
                     F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))),
                     F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                    F.concat,
+                    lambda a, b: F.concat(a, b),
                 )
             )
         )

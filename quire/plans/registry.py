@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, evaluation, retrieval
+from quire.plans import documents, evaluation, quality, retrieval
 
-MODULES = (documents, retrieval, evaluation)
+MODULES = (documents, retrieval, evaluation, quality)
 
 
 def all_queries() -> dict:
