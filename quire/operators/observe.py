@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators.ordered import percentiles
 from quire.settings import DEFAULTS, Settings
@@ -120,11 +121,26 @@ def newest(df: DataFrame, order: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(order), F.desc(tie)).limit(n)
 
 
-def redact(df: DataFrame, pattern: str = r"(?i)(key|token|secret|password|passwd|authorization|credential)") -> DataFrame:
-    """Drop columns whose name looks sensitive."""
-    import re
+# Fixed name parts of sensitive fields.
+SENSITIVE = ("authorization", "api_key", "apikey", "token", "password", "secret", "credential")
 
-    return df.select(*[c for c in df.columns if not re.search(pattern, c)])
+
+def redact(df: DataFrame) -> DataFrame:
+    """Drop columns and nested struct fields whose name looks sensitive."""
+    def keep(name: str) -> bool:
+        return not any(part in name.lower() for part in SENSITIVE)
+
+    def trimmed(column: Column, kind) -> Column:
+        if isinstance(kind, T.StructType):
+            fields = [trimmed(column[f.name], f.dataType).alias(f.name) for f in kind.fields if keep(f.name)]
+            return F.struct(*fields) if fields else F.lit(None)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.transform(column, lambda x: trimmed(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.map_filter(column, lambda k, v: ~F.lower(k.cast("string")).rlike("|".join(SENSITIVE)))
+        return column
+
+    return df.select(*[trimmed(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if keep(f.name)])
 
 
 def circuit_open(outcomes: DataFrame, limit: int = 3) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, evaluation, quality, retrieval
+from quire.plans import documents, evaluation, quality, retrieval, streams
 
-MODULES = (documents, retrieval, evaluation, quality)
+MODULES = (documents, retrieval, evaluation, quality, streams)
 
 
 def all_queries() -> dict:

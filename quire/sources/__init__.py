@@ -1 +1 @@
-
+"""Readers and the chunk store."""
