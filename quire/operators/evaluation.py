@@ -28,15 +28,13 @@ def per_query(hits: DataFrame, totals: DataFrame, cfg: Settings = DEFAULTS) -> D
     """
     k = cfg.top_k
     lists = hits.where(F.col("rank") <= cfg.candidate_k).groupBy("query_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", F.coalesce("grade", F.lit(0)).alias("grade")))),
-            lambda h: h["grade"],
-        ).alias("grades"),
+        F.map_from_entries(F.collect_list(F.struct("rank", F.coalesce("grade", F.lit(0)).alias("grade")))).alias("by_rank"),
         F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("file_hit").cast("int"))), F.lit(0)).alias("any_file"),
     )
     g, n = F.col("grades"), F.col("n_relevant")
+    places = F.array(*[F.lit(r) for r in range(1, cfg.candidate_k + 1)])
     return totals.join(lists, "query_id", "left").withColumn(
-        "grades", F.coalesce("grades", F.array().cast("array<int>"))
+        "grades", F.transform(places, lambda r: F.coalesce(F.try_element_at("by_rank", r), F.lit(0)))
     ).select(
         *totals.columns,
         M.recall_at_k(g, n, k).alias("recall_at_k"),

@@ -25,6 +25,8 @@ ship_by_value(__name__)
 # Upper bound of what one slice of queries may put on each executor.
 SLICE_ROWS = 4096
 SLICE_BYTES = 32 * 1024 * 1024
+# Query terms up to this many rows (some ten megabytes) are sent to every executor; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
 
 
 class _Best:
@@ -166,8 +168,9 @@ def bm25_scores(
     shuffle, which is by document and serves the corpus statistics and the scores alike; the sum per pair needs no
     further exchange. ``idf`` is "lucene" (never negative) or "okapi" (negative values become epsilon times the mean).
     """
+    send = F.broadcast if terms.count() <= BROADCAST_TERMS else _unchanged
     vocabulary = terms.select("term").unionByName(index.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    matched = index.join(vocabulary, "term").repartition("doc_id")
+    matched = index.join(send(vocabulary), "term").repartition("doc_id")
     counts = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("len_sum"))
     everything = Window.partitionBy(F.lit(0))  # one row per query term, a bounded set
     stats = counts.select(
@@ -189,7 +192,11 @@ def bm25_scores(
     part = F.col("w") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
     )
-    return matched.join(weights, "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
+    return matched.join(send(weights), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
+
+
+def _unchanged(df: DataFrame) -> DataFrame:
+    return df
 
 
 def mean_okapi_idf(index: DataFrame) -> float:
