@@ -95,24 +95,27 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(words: Column) -> Column:
-    """Distinct terms of one text with their counts, by run lengths over the sorted terms."""
-    kind = "array<struct<term:string,tf:int>>"
-    zero = F.struct(F.lit("").alias("term"), F.lit(0).alias("tf"), F.array().cast(kind).alias("out"))
-
-    def flush(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.struct(acc["term"].alias("term"), acc["tf"].alias("tf"))))
-
-    def step(acc: Column, word: Column) -> Column:
-        same = acc["term"] == word
-        return F.struct(
-            word.alias("term"),
-            F.when(same, acc["tf"] + 1).otherwise(F.lit(1)).alias("tf"),
-            F.when(same | (acc["tf"] == 0), acc["out"]).otherwise(flush(acc)).alias("out"),
+    """Distinct terms of one text with their counts, by the run lengths of the sorted terms. Linear after the sort."""
+
+    def runs(sorted_words: Column) -> Column:
+        n = F.size(sorted_words)
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+            lambda i: (i <= n)
+            & ((i == 1) | (F.try_element_at(sorted_words, i) != F.try_element_at(sorted_words, F.greatest(i - 1, F.lit(1))))),
+        )
+        return bind(
+            starts,
+            lambda at: F.transform(
+                at,
+                lambda p, j: F.struct(
+                    F.try_element_at(sorted_words, p).alias("term"),
+                    (F.coalesce(F.try_element_at(at, j + 2), n + 1) - p).alias("tf"),
+                ),
+            ),
         )
 
-    return F.aggregate(
-        F.array_sort(words), zero, step, lambda acc: F.when(acc["tf"] == 0, acc["out"]).otherwise(flush(acc))
-    )
+    return bind(F.sort_array(words), runs)
 
 
 def stem(path: Column) -> Column:

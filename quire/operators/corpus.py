@@ -12,7 +12,7 @@ from quire.settings import DEFAULTS, Settings
 def windows(text: Column, width: int) -> Column:
     """Distinct character windows of a text; empty when it is shorter. Cut from one-line chunks to stay linear."""
     # Substring by character position is linear in the position, so the text is first cut into blocks.
-    block = 512
+    block = 128
     starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(block))
     parts = F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(block + width - 1)))
     cut = F.transform(

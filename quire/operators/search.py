@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.core import pin
+from quire.functions.core import built, pin
 from quire.functions.text import term_counts, tokens
-from quire.session import ship_by_value
+from quire.session import materialize, ship_by_value
 from quire.settings import DEFAULTS, Settings
 
 ship_by_value(__name__)
@@ -140,10 +140,10 @@ def postings(
     Each document also gives one row with an empty term and tf 0, which carries its length and lets the corpus
     statistics come from the same pass.
     """
-    words = pin(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_words", tokenizer(F.col("_text")))
+    words = pin(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_words", built(tokenizer, "_text"))
     empty = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
     return words.select(
-        "doc_id", F.size("_words").alias("doc_len"), F.inline(F.concat(term_counts(F.col("_words")), empty))
+        "doc_id", F.size("_words").alias("doc_len"), F.inline(F.concat(built(term_counts, "_words"), empty))
     )
 
 
@@ -165,13 +165,14 @@ def bm25_scores(
     """BM25 of every (query, document) pair that shares a term: query_id, doc_id, score.
 
     ``index`` has the shape of :func:`postings`. It is narrowed to the vocabulary of the queries before the only
-    shuffle, which is by document and serves the corpus statistics and the scores alike; the sum per pair needs no
-    further exchange. ``idf`` is "lucene" (never negative) or "okapi" (negative values become epsilon times the mean).
+    shuffle, which is by document; the sum per pair needs no further exchange. ``idf`` is "lucene" (never negative) or "okapi" (negative values become epsilon times the mean).
     """
     send = F.broadcast if terms.count() <= BROADCAST_TERMS else _unchanged
     vocabulary = terms.select("term").unionByName(index.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    matched = index.join(send(vocabulary), "term").repartition("doc_id")
-    counts = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("len_sum"))
+    # Read twice below, so the texts are cut into terms once and the narrow result is written.
+    kept = materialize(index.join(send(vocabulary), "term"), "matched-terms")
+    matched = kept.repartition("doc_id")
+    counts = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("len_sum"))
     everything = Window.partitionBy(F.lit(0))  # one row per query term, a bounded set
     stats = counts.select(
         "term",

@@ -150,7 +150,7 @@ EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     SELECT doc_id, length(t) AS n_chars, sha256(t) AS digest FROM b""",
 )
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirty = pin(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "t", F.expr(DIRTY))
+    dirty = pin(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "t", F.expr(DIRTY))
     done = pin(dirty, "c", X.clean(F.col("t")))
     return done.select("doc_id", F.length("c").alias("n_chars"), F.sha2("c", 256).alias("digest"))
 
@@ -167,7 +167,7 @@ RAGGED = """concat(chr(10), '#', source, chr(13), chr(10), '| - | ---- |', chr(1
     SELECT doc_id, length(t) AS n_chars, sha256(t) AS digest FROM c""",
 )
 def normalize_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ragged = pin(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "t", F.expr(RAGGED))
+    ragged = pin(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "t", F.expr(RAGGED))
     done = pin(ragged, "c", X.normalize_markdown(F.col("t")))
     return done.select("doc_id", F.length("c").alias("n_chars"), F.sha2("c", 256).alias("digest"))
 
