@@ -155,3 +155,26 @@ def circuit_open(outcomes: DataFrame, limit: int = 3) -> DataFrame:
     shifted = soft.select("backend", F.explode(F.sequence(F.col("seq"), F.col("seq") + limit - 1)).alias("seq"))
     runs = shifted.groupBy("backend", "seq").count().where(F.col("count") >= limit).select("backend")
     return runs.unionByName(outcomes.where(~F.col("ok") & fatal).select("backend")).distinct()
+
+
+def health(items: DataFrame, min_tests: int = 5, min_coverage: float = 65.0) -> DataFrame:
+    """State counts and rates over (state, mode, tests, coverage); a pass with thin evidence is suspicious."""
+    def n(state: str) -> Column:
+        return F.count_if(F.col("state") == state)
+
+    thin = F.col("mode").isNull() | (
+        (F.col("mode") != "e2e")
+        & ((F.coalesce("tests", F.lit(0)) < min_tests) | F.col("coverage").isNull() | (F.col("coverage") < min_coverage))
+    )
+
+    def rate(part: Column, whole: Column) -> Column:
+        return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+    return items.agg(
+        n("passed").alias("passed"),
+        n("regressed").alias("regressed"),
+        n("active").alias("active"),
+        rate(n("regressed"), n("passed") + n("regressed")).alias("regression_rate"),
+        rate(n("passed"), n("passed") + n("regressed") + n("active")).alias("pass_rate"),
+        F.count_if((F.col("state") == "passed") & thin).alias("suspicious"),
+    )
