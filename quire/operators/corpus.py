@@ -73,7 +73,14 @@ def resolve_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
     names = wanted.select("name").where(F.length("name") > 0).distinct()
     inner = names.select("name", F.explode(pieces("name", lengths[0])).alias("doc_id")).join(known, "doc_id")
-    outer = known.select("doc_id", "position", F.explode(pieces("doc_id", lengths[1])).alias("name")).join(names, "name")
+    # Only the first known id per substring can win, so a substring that many ids share is one row before the join.
+    outer = (
+        known.select("doc_id", "position", F.explode(pieces("doc_id", lengths[1])).alias("name"))
+        .groupBy("name")
+        .agg(F.min(F.struct("position", "doc_id")).alias("k"))
+        .select("name", "k.doc_id", "k.position")
+        .join(names, "name")
+    )
     hits = inner.select("name", "doc_id", "position").unionByName(outer.select("name", "doc_id", "position"))
     best = hits.groupBy("name").agg(
         F.min(F.struct((F.col("name") != F.col("doc_id")).alias("inexact"), "position", "doc_id")).alias("m")

@@ -93,7 +93,6 @@ class ChunkStore:
 
     def _live(self, name: str) -> DataFrame:
         rows = self.spark.read.option("basePath", self._path(name)).parquet(self._path(name))
-        # The partition column of the path decides the files read; a batch without live documents is pruned.
         live = self.state().where("status = 'indexed'").select("doc_id", "batch")
         return rows.withColumn("batch", F.col("batch").cast("string")).join(live, ["doc_id", "batch"], "left_semi")
 

@@ -24,6 +24,7 @@ def panel(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") ->
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions per user: a new one starts after ``gap`` without events. A busy user's rows are merged per task first."""
+    events.sparkSession.conf.set("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return (
         rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id")
