@@ -94,39 +94,36 @@ def child_chunks(
     Children of a flat_simple document are its parents, with an empty ``parent_id``.
     """
     simple = F.col("strategy") == "flat_simple"
-    layered = split_sections(
-        parents.where(~simple),
+    # One pass for both kinds: a parent that is its own child gets a size no text exceeds.
+    rows = split_sections(
+        parents,
         F.array("content"),
-        cfg.child_chunk_size,
-        cfg.child_overlap,
+        F.when(simple, F.lit(2**31 - 1)).otherwise(F.lit(cfg.child_chunk_size)),
+        F.when(simple, F.lit(0)).otherwise(F.lit(cfg.child_overlap)),
         "_pieces",
         cfg.separators,
         protect_tables,
     ).select(
         "doc_id",
-        F.col("chunk_id").alias("parent_id"),
+        "chunk_id",
+        "parent_no",
         "section_path",
-        F.posexplode("_pieces").alias("child_no", "_piece"),
+        "start_char_index",
+        simple.alias("_simple"),
+        F.posexplode("_pieces").alias("_no", "_piece"),
     )
-    children = layered.select(
+    alone = F.col("_simple")
+    return rows.select(
         "doc_id",
-        F.concat_ws(":c", "parent_id", F.col("child_no").cast("string")).alias("chunk_id"),
-        "parent_id",
-        "child_no",
+        F.when(alone, F.col("chunk_id"))
+        .otherwise(F.concat_ws(":c", "chunk_id", F.col("_no").cast("string")))
+        .alias("chunk_id"),
+        F.when(~alone, F.col("chunk_id")).alias("parent_id"),
+        F.when(alone, F.col("parent_no")).otherwise(F.col("_no")).alias("child_no"),
         "section_path",
         F.col("_piece.content").alias("content"),
-        F.col("_piece.start").alias("start_char_index"),
-    )
-    single = parents.where(simple).select(
-        "doc_id",
-        "chunk_id",
-        F.lit(None).cast("string").alias("parent_id"),
-        F.col("parent_no").alias("child_no"),
-        "section_path",
-        "content",
-        "start_char_index",
+        F.when(alone, F.col("start_char_index")).otherwise(F.col("_piece.start")).alias("start_char_index"),
     )
-    return children.unionByName(single)
 
 
 def ingest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: Settings = DEFAULTS):
