@@ -31,7 +31,7 @@ def local_session(app: str = "quire", cores: str = "*", shuffle_partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is used.
+    Only where the session names none and everything runs on one machine (tests) a temporary folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="quire-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,11 +53,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     checkpointed frame it survives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def clear_intermediate(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote for this application. Call it when no result that reads it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for row-local work on an input that arrives in fewer partitions than there are cores.
 
