@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import quality_rules
+from quire.llm import bpe, pii, quality_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -24,3 +24,13 @@ def query(oracle: str | None = None):
 @query(quality_rules.ORACLE)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op9_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3_bpe(table(spark, sf_dir, "documents"))
+
+
+@query(pii.ORACLE)
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10_pii(table(spark, sf_dir, "documents"))
