@@ -164,15 +164,13 @@ def op10_pii(docs: DataFrame) -> DataFrame:
     found = spans_of(docs)
     parts = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     n_base = F.size(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(k) for k in BASE],
         F.sha2(F.concat_ws(",", F.slice(parts, F.lit(1), n_base)), 256).alias("base_sha256"),
         F.concat_ws(",", parts).alias("spans"),
     )
-
-
-# No position function for patterns exists in SQL, so it checks the counts of mail addresses; the spans are tested against
-# plain patterns. The query is registered without SQL.
-ORACLE = None

@@ -31,6 +31,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3_bpe(table(spark, sf_dir, "documents"))
 
 
-@query(pii.ORACLE)
+@query()
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(table(spark, sf_dir, "documents"))
