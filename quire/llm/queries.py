@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, pii, quality_rules
+from quire.llm import bpe, decontaminate, pii, quality_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -34,3 +34,8 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(table(spark, sf_dir, "documents"))
+
+
+@query(decontaminate.ORACLE)
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op2_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
