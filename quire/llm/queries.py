@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, pii, quality_rules
+from quire.llm import bpe, decontaminate, pii, quality_rules, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(decontaminate.ORACLE)
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op2_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(url_rules.ORACLE)
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.op8_url_rules(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
