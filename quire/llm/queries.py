@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, pii, quality_rules, url_rules
+from quire.llm import bpe, decontaminate, pii, quality_rules, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -44,3 +44,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(url_rules.ORACLE)
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.op8_url_rules(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op4_sharding(table(spark, sf_dir, "documents"))
