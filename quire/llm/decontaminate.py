@@ -26,65 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.words import cut_words, shards
 from quire.session import ship_by_value
 
 WINDOW = 10
-SHARD_BYTES = 4_000_000
 BLOCK_BYTES = 32_000_000
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTER = np.zeros(256, bool)
-_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-_VALUES[65:91] = _VALUES[97:123]
-
-
-def _power(kept: dict, base: np.uint64, n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of ``base``, kept in a dictionary of the worker."""
-    have = kept.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(n + n // 4 + 1, base, np.uint64)
-        steps[0] = 1
-        have = kept[int(base)] = np.cumprod(steps)
-    return have[:n]
-
-
-def cut_words(data: np.ndarray, offsets: np.ndarray, powers: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and byte length of every word, and the words per text; text i is ``data[offsets[i]:offsets[i + 1]]``."""
-    n = len(data)
-    inside = _LETTER[data]
-    before = np.empty(n, bool)
-    after = np.empty(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    if n:
-        edges = offsets[:-1][offsets[:-1] < n]
-        before[edges] = False
-        ends = offsets[1:][offsets[1:] > 0] - 1
-        after[ends] = False
-    starts = np.flatnonzero(inside & ~before)
-    stops = np.flatnonzero(inside & ~after) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power(powers, _STEP, n), out=sums[1:])
-    hashes = (sums[stops] - sums[starts]) * _power(powers, _BACK, n)[starts]
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, stops - starts, counts
-
-
-def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column, nulls as empty texts."""
-    column = column.fill_null("") if column.null_count else column
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return data, offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
-
 
 def index_items(items: list[tuple[str, str]]) -> dict:
     """Vocabulary, numbered words and windows of benchmark texts: what a task needs to search them."""
     rows = [t.encode("utf-8") for _, t in items]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-    hashes, lengths, counts = cut_words(np.frombuffer(b"".join(rows), np.uint8), offsets, {})
+    hashes, first_byte, stop, counts = cut_words(np.frombuffer(b"".join(rows), np.uint8), offsets, {})
+    lengths = stop - first_byte
     vocabulary, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(counts + 1)])[:-1].astype(np.int64)
     words = np.zeros(int((counts + 1).sum()), np.int64)
@@ -193,7 +147,8 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, index: dict, longest: bool
 
     With ``longest`` also the longest match of every benchmark suffix as (suffix, words, text, word) arrays.
     """
-    hashes, lengths, counts = cut_words(data, offsets, index["powers"])
+    hashes, first_byte, stop, counts = cut_words(data, offsets, index["powers"])
+    lengths = stop - first_byte
     docs = len(counts)
     vocabulary = index["vocabulary"]
     at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
@@ -232,16 +187,6 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, index: dict, longest: bool
     return out
 
 
-def _shards(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive slices of a text column with at most ``SHARD_BYTES`` of text (one text at least)."""
-    data, offsets = _buffers(column)
-    a = 0
-    while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_BYTES, "right")) - 1)
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        a = b
-
-
 def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[list[tuple[str, str]]]:
     """The items as (id, text) in blocks of bounded size; only the blocks' count depends on the benchmark's size."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("_i"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
@@ -250,6 +195,11 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return [[(r["_i"], r["_t"]) for r in rows.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
+def _ship() -> None:
+    ship_by_value(__name__)
+    ship_by_value("quire.llm.words")
+
+
 def _broadcasts(docs: DataFrame, benchmark: DataFrame) -> list:
     context = docs.sparkSession.sparkContext
     return [context.broadcast(index_items(block)) for block in benchmark_blocks(benchmark)]
@@ -268,7 +218,7 @@ def _merge(old: list[int], new: list[tuple[int, int]]) -> list[int]:
 
 def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_words``, ``hits`` (starts and ends of hit words, flat) and ``items`` (names) for every row."""
-    ship_by_value(__name__)
+    _ship()
     id_type = docs.schema[doc_id].dataType.simpleString()
     state = docs.select(
         F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
@@ -282,7 +232,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             for batch in batches:
                 n_words, hits, items = [], [], []
                 old_hits, old_items = batch.column(3), batch.column(4)
-                for a, b, data, offsets in _shards(batch.column(1)):
+                for a, b, data, offsets in shards(batch.column(1)):
                     got = scan_shard(data, offsets, index)
                     n_words += got["n_words"].tolist()
                     for i in range(b - a):
@@ -301,7 +251,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text holds no benchmark window, with all their columns."""
-    ship_by_value(__name__)
+    _ship()
     inner = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     schema = inner.schema
     for shared in _broadcasts(docs, benchmark):
@@ -310,7 +260,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
             index = shared.value
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for a, _, data, offsets in _shards(batch.column(0)):
+                for a, _, data, offsets in shards(batch.column(0)):
                     for i in scan_shard(data, offsets, index)["spans"]:
                         keep[a + i] = False
                 yield batch.filter(pa.array(keep))
@@ -325,7 +275,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     Columns ``item_id`` (as text), ``offset`` (word of the item), ``n_words``, ``doc_id``, ``position`` (word of the
     document). Shards send one row per suffix, the best is taken after partial maxima; ties go to the smallest document.
     """
-    ship_by_value(__name__)
+    _ship()
     id_type = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     parts = []
@@ -337,7 +287,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
             start = index["place"][head] if len(head) else head
             item_at = np.searchsorted(index["item"][head], index["item"]) if len(head) else head
             for batch in batches:
-                for a, _, data, offsets in _shards(batch.column(1)):
+                for a, _, data, offsets in shards(batch.column(1)):
                     suffix, size, doc, position = scan_shard(data, offsets, index, longest=True)["longest"]
                     names = [index["names"][k] for k in index["item"][suffix].tolist()]
                     yield pa.RecordBatch.from_arrays(

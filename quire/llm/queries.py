@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, pii, quality_rules, sharding, url_rules
+from quire.llm import bpe, decontaminate, mil, pii, quality_rules, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -49,3 +49,8 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op4_sharding(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.op7_quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
