@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, mil, pii, quality_rules, sharding, url_rules
+from quire.llm import bpe, decontaminate, line_dedup, mil, pii, quality_rules, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -54,3 +54,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.op7_quality_mil(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op5_line_dedup(table(spark, sf_dir, "documents"))
