@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, line_dedup, mil, pii, quality_rules, sharding, url_rules
+from quire.llm import bpe, decontaminate, jaccard, line_dedup, mil, pii, quality_rules, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -59,3 +59,8 @@ def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op5_line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(jaccard.ORACLE)
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op6_jaccard(table(spark, sf_dir, "documents"))
