@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, jaccard, line_dedup, mil, pii, quality_rules, sharding, url_rules
+from quire.llm import bpe, decontaminate, jaccard, line_dedup, mil, pii, quality_rules, quotes, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -64,3 +64,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(jaccard.ORACLE)
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.op6_jaccard(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.op1_quotes(table(spark, sf_dir, "conversations"))
