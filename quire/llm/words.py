@@ -66,8 +66,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def shards(column: pa.Array, size: int = SHARD_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Consecutive slices (first row, end row, bytes, offsets) of a text column with at most ``size`` bytes, one text at least."""
+def shards(column: pa.Array, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Consecutive slices (first row, end row, bytes, offsets) of a text column with at most ``size`` (else
+    ``SHARD_BYTES``) bytes, one text at least."""
+    size = size or SHARD_BYTES
     data, offsets = text_buffers(column)
     a = 0
     while a < len(column):
