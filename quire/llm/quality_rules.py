@@ -189,11 +189,11 @@ def calibrate(
         .agg(F.sum(F.col("_good").cast("long")).alias("good"), F.sum((~F.col("_good")).cast("long")).alias("bad"))
     )
     group = Window.partitionBy("_stratum", "rule")
-    # level j means that the j loosest cutoffs reject; cutoff j therefore rejects every level >= j.
+    # a level counts the cutoffs below a share, the strictest ones; cutoff j of n rejects the levels above n - j
     steps = counts.groupBy("_stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("level", "good", "bad")).alias("h"))
     steps = steps.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(grid)))))
     above = lambda field: F.aggregate(
-        F.filter("h", lambda x: x["level"] >= F.col("step")), F.lit(0).cast("bigint"), lambda a, x: a + x[field]
+        F.filter("h", lambda x: x["level"] > F.lit(len(grid)) - F.col("step")), F.lit(0).cast("bigint"), lambda a, x: a + x[field]
     )
     steps = steps.select("_stratum", "rule", "step", "n", above("good").alias("k"), above("bad").alias("bad"))
     pairs = counts.select("_stratum").distinct().agg((F.count(F.lit(1)) * len(RULES)).alias("m"))

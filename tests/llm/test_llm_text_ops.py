@@ -172,7 +172,7 @@ def test_risk_control(spark):
     rnd = random.Random(8)
     rows = []
     for i in range(6000):
-        good = i % 4 > 0
+        good = i % 8 > 1
         symbols = rnd.choice([0, 0, 1, 2]) if good else rnd.choice([0, 40])
         rows.append((i, " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(60)) + " " + "#" * symbols * 4, "en" if i < 5900 else None, int(good)))
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
