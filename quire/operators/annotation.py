@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.markdown import strip
 from quire.functions.text import tokens
+from quire.operators.ordered import row_numbers
 
 # Fixed folding of full-width punctuation to its ASCII form.
 FULL_WIDTH = "，。！？；：（）【】“”‘’、　"
@@ -123,8 +124,6 @@ def pilot_summary(results: DataFrame, pass_rate: float = 0.8) -> DataFrame:
 
 def delete_and_renumber(items: DataFrame, deleted: DataFrame, prefix: str = "crawler-") -> DataFrame:
     """Drop listed queries and number the rest anew in order. Numbers come from counts per block of the order."""
-    left = items.join(deleted.select("query_id"), "query_id", "left_anti").withColumn("c", F.lit(1))
-    from quire.operators.ordered import cumulative
-
-    numbered = cumulative(left.withColumn("_g", F.lit(0)), ["_g"], "position", "c")
-    return numbered.withColumn("query_id", F.format_string(prefix + "%04d", F.col("cum") - 1)).drop("c", "_g", "cum", "total")
+    left = items.join(deleted.select("query_id"), "query_id", "left_anti")
+    numbered = row_numbers(left, ["position"], "_no")
+    return numbered.withColumn("query_id", F.format_string(prefix + "%04d", F.col("_no"))).drop("_no")

@@ -99,12 +99,12 @@ def low_pass_rates(attempts: DataFrame, keys: list[str], at_least: int = 5, belo
 
 
 def needle_verdict(stages: DataFrame, max_drop: float = 0.05, min_penetration: float = 0.10) -> DataFrame:
-    """Robustness verdict over (stage, recall, penetrated) per query, stages clean, control and noisy."""
-    def mean(stage: str) -> Column:
-        return F.avg(F.when(F.col("stage") == stage, F.col("recall")))
+    """Robustness verdict over (stage, recall, mrr, penetrated) per query, stages clean, control and noisy."""
+    def mean(stage: str, name: str) -> Column:
+        return F.avg(F.when(F.col("stage") == stage, F.col(name)))
 
     row = stages.agg(
-        *[mean(s).alias(f"recall_{s}") for s in ("clean", "control", "noisy")],
+        *[mean(s, name).alias(f"{name}_{s}") for name in ("recall", "mrr") for s in ("clean", "control", "noisy")],
         F.coalesce(F.avg(F.when(F.col("stage") == "noisy", F.col("penetrated").cast("double"))), F.lit(0.0)).alias("penetration"),
     )
     drop = F.col("recall_control") - F.col("recall_noisy")
@@ -133,7 +133,7 @@ def adjacent_pairs(parents: DataFrame) -> DataFrame:
 
 def stratified(df: DataFrame, stratum: str, order: str, sizes: dict[str, int]) -> DataFrame:
     """First rows per stratum in order; a stratum without a size is kept whole."""
-    parts = [df.where(~F.col(stratum).isin(*sizes))]
+    parts = [df.where(F.coalesce(~F.col(stratum).isin(*sizes), F.lit(True)))]
     parts += [df.where(F.col(stratum) == name).orderBy(order).limit(n) for name, n in sizes.items()]
     out = parts[0]
     for p in parts[1:]:

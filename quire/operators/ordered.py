@@ -9,13 +9,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import materialize
 
-def cumulative(counts: DataFrame, group: list[str], value: str, weight: str, ranges: int = 128) -> DataFrame:
-    """Add ``cum`` (weights up to and with this value) and ``total`` to distinct (group, value) rows."""
+#: Rows of distinct values that one range of a group holds about.
+RANGE_ROWS = 100_000
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys where null is a value like any other."""
+    named = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, on).drop(*[f"_r_{c}" for c in keys])
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number all rows from 0 in an order: ranges of rows are numbered apart and stitched with their counts."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "row-ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_k", inside).join(F.broadcast(offsets), "_range")
+    return numbered.withColumn(name, F.col("_k") + F.col("_before") - 1).drop("_k", "_before", "_range")
+
+
+def cumulative(counts: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
+    """Add ``cum`` (weights up to and with this value) and ``total`` to distinct (group, value) rows.
+
+    The number of ranges follows the number of rows, so one group may hold all of them.
+    """
+    counts = materialize(counts, "counts")  # read four times below
+    ranges = max(8, counts.count() // RANGE_ROWS)
     steps = [i / ranges for i in range(1, ranges)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx(value, steps, 10000).alias("_bounds"))
     placed = (
-        counts.join(bounds, group)
+        _same(counts, bounds, group)
         .withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
         .drop("_bounds")
     )
@@ -29,7 +60,7 @@ def cumulative(counts: DataFrame, group: list[str], value: str, weight: str, ran
     )
     inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        placed.join(offsets, [*group, "_range"])
+        _same(placed, offsets, [*group, "_range"])
         .withColumn("cum", F.col("_before") + F.sum(weight).over(inside))
         .drop("_range", "_before")
     )

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.core import built, pin
 from quire.functions.text import term_counts, tokens
@@ -61,16 +62,18 @@ class _Best:
         self.bar[full] = self.score[last]
 
 
-def _vector_slices(queries: DataFrame, query_id: str, vector: str) -> list[list]:
-    """Queries in slices whose size is checked before they are sent to the executors."""
+def _vector_slices(queries: DataFrame, query_id: str, vector: str) -> Iterator[list]:
+    """Queries in slices whose size is checked before they are sent to the executors; the driver holds one at a time."""
     width = queries.select(F.max(F.size(vector)), F.count(F.lit(1))).first()
     dim, total = width[0] or 1, width[1]
     rows = max(1, min(SLICE_ROWS, SLICE_BYTES // (8 * dim)))
     if total <= rows:
-        return [queries.select(query_id, vector).collect()]
+        yield queries.select(query_id, vector).collect()
+        return
     parts = math.ceil(total / rows) * 2
     key = F.pmod(F.xxhash64(query_id), F.lit(parts))
-    return [queries.where(key == i).select(query_id, vector).collect() for i in range(parts)]
+    for i in range(parts):
+        yield queries.where(key == i).select(query_id, vector).collect()
 
 
 def dense_topk(
@@ -88,6 +91,7 @@ def dense_topk(
     schema = T.StructType(
         [T.StructField("_q", qid_type), T.StructField(row_id, id_type), T.StructField("score", T.DoubleType())]
     )
+    q_arrow, id_arrow = to_arrow_type(qid_type), to_arrow_type(id_type)
     corpus = rows.select(row_id, F.col(row_vector).cast("array<double>").alias("_v")).where(F.size("_v") > 0)
     sc = rows.sparkSession.sparkContext
     found: DataFrame | None = None
@@ -113,9 +117,9 @@ def dense_topk(
             if best.ids is not None:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([names[i] for i in best.query]),
-                        pa.array(best.ids.tolist()),
-                        pa.array(best.score),
+                        pa.array([names[i] for i in best.query], q_arrow),
+                        pa.array(best.ids.tolist(), id_arrow),
+                        pa.array(best.score, pa.float64()),
                     ],
                     names=["_q", row_id, "score"],
                 )
@@ -172,14 +176,11 @@ def bm25_scores(
     # Read twice below, so the texts are cut into terms once and the narrow result is written.
     kept = materialize(index.join(send(vocabulary), "term"), "matched-terms")
     matched = kept.repartition("doc_id")
-    counts = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("len_sum"))
-    everything = Window.partitionBy(F.lit(0))  # one row per query term, a bounded set
-    stats = counts.select(
-        "term",
-        "df",
-        F.max(F.when(F.col("term") == "", F.col("df"))).over(everything).alias("n"),
-        F.max(F.when(F.col("term") == "", F.col("len_sum") / F.col("df"))).over(everything).alias("avg_len"),
-    ).where("term <> ''")
+    counts = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    whole = kept.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len")).first()
+    stats = counts.where("term <> ''").select(
+        "term", "df", F.lit(whole["n"]).alias("n"), F.lit(whole["avg_len"]).cast("double").alias("avg_len")
+    )
     if idf == "lucene":
         stats = stats.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     else:
@@ -196,6 +197,25 @@ def bm25_scores(
     return matched.join(send(weights), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
 
 
+def _unmatched(index: DataFrame, scores: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """For each query its k documents with the smallest ids among those that share no term with it, with score 0.
+
+    A query can only miss rows of the list if few ids of a prefix of all ids are left over, so the prefix is doubled
+    until each query has k of them or all documents are in it.
+    """
+    known = index.where("term = ''").select("doc_id")
+    size = 2 * k
+    while True:
+        ids = [r[0] for r in known.orderBy("doc_id").limit(size).collect()]
+        fill = wanted.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("doc_id"), F.lit(0.0).alias("score"))
+        rest = fill.join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        matched_here = scores.join(F.broadcast(fill.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("query_id").count()
+        fullest = matched_here.agg(F.max("count")).first()[0] or 0
+        if len(ids) < size or size - fullest >= k:
+            return rest
+        size *= 2
+
+
 def _unchanged(df: DataFrame) -> DataFrame:
     return df
 
@@ -215,24 +235,22 @@ def bm25_topk(
     cfg: Settings = DEFAULTS,
     match_only: bool = True,
     idf: str = "lucene",
+    queries: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k documents per query: query_id, doc_id, score (6 decimals), rank. Ties go to the smaller id.
 
-    With ``match_only=False`` documents without any query term (score 0) fill the list up to k.
+    With ``match_only=False`` documents without any query term (score 0) fill the list up to k. ``queries`` names the
+    queries (query_id) to fill, so that those without any word get a list, too; without it those of ``terms`` are filled.
     """
     scores = bm25_scores(index, terms, cfg, idf).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if match_only:
         return top.select("query_id", "doc_id", "score", "rank")
-    # A list misses at most k rows, and fewer than k documents stand in it: the 2k smallest ids are enough.
-    spare = index.where("term = ''").select("doc_id").orderBy("doc_id").limit(2 * k)
-    ids = [r[0] for r in spare.collect()]
-    fill = terms.select("query_id").distinct().select(
-        "query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("doc_id"), F.lit(0.0).alias("score")
-    )
-    rest = fill.join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    both = top.select("query_id", "doc_id", "score").unionByName(rest)
+    scores = materialize(scores, "scores")
+    top = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    wanted = (terms if queries is None else queries).select("query_id").distinct()
+    both = top.select("query_id", "doc_id", "score").unionByName(_unmatched(index, scores, wanted, k))
     return (
         both.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from quire.operators import observe as O
 from quire.operators import runs as R
 from quire.operators.ordered import cumulative, percentiles
 from quire.plans.common import table
-from quire.plans.retrieval import embeddings, neighbours, neighbours_sql
+from quire.plans.retrieval import ASKS, embeddings, neighbours, neighbours_sql
 from quire.session import materialize
 
 QUERIES = {}
@@ -50,7 +50,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.col(f"g{g}") - (F.col("grade") == g).cast("int")
         return F.array_repeat(F.lit(g), F.least(F.lit(5), left).cast("int"))
 
-    totals = e.join(per_label, "label").join(per_file, "file").select(
+    totals = e.where(ASKS.format("vec_id")).join(per_label, "label").join(per_file, "file").select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("c"), F.col("label")).alias("category"),
         F.when(F.col("label") < 5, "single_chunk").otherwise("multi_chunk").alias("difficulty"),

@@ -228,36 +228,40 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "lang", "attempts", "passes", F.round("rate", 6).alias("rate"))
 
 
+STAGES = {"clean": "label < 7", "control": "label < 8", "noisy": "true"}
+_STAGE_SQL = ", ".join(
+    neighbours_sql(5, corpus.replace("label", "e.label"), f"nb_{stage}") for stage, corpus in STAGES.items()
+)
+
+
 @query(
     "needle_test",
-    f"""WITH {neighbours_sql(10)}, j AS (SELECT nb.query_id, nb.vec_id, nb.score, q.label AS ql, e.label AS el FROM nb JOIN embeddings q ON q.vec_id = nb.query_id JOIN embeddings e ON e.vec_id = nb.vec_id),
-    s AS (SELECT 'clean' AS stage, * FROM j WHERE el < 7 UNION ALL SELECT 'control', * FROM j WHERE el < 8 UNION ALL SELECT 'noisy', * FROM j),
-    r AS (SELECT *, row_number() OVER (PARTITION BY stage, query_id ORDER BY score DESC, vec_id) AS rn FROM s),
-    q AS (SELECT stage, query_id, max(CASE WHEN el = ql THEN 1 ELSE 0 END) AS recall, max(CASE WHEN el >= 8 THEN 1 ELSE 0 END) AS pen FROM r WHERE rn <= 5 GROUP BY ALL),
-    a AS (SELECT avg(CASE WHEN stage = 'clean' THEN recall END) AS c, avg(CASE WHEN stage = 'control' THEN recall END) AS k, avg(CASE WHEN stage = 'noisy' THEN recall END) AS n, avg(CASE WHEN stage = 'noisy' THEN pen END) AS p FROM q)
-    SELECT round(c, 6) AS recall_clean, round(k, 6) AS recall_control, round(n, 6) AS recall_noisy, round(p, 6) AS penetration, round(c - k, 6) AS scale_drop, round(k - n, 6) AS interference_drop,
+    f"""WITH {_STAGE_SQL},
+    r AS (SELECT stage, query_id, rank, q.label AS ql, e.label AS el FROM (SELECT 'clean' AS stage, * FROM nb_clean UNION ALL SELECT 'control', * FROM nb_control UNION ALL SELECT 'noisy', * FROM nb_noisy) nb
+      JOIN embeddings q ON q.vec_id = nb.query_id JOIN embeddings e ON e.vec_id = nb.vec_id WHERE q.label < 7),
+    q AS (SELECT stage, query_id, max(CASE WHEN el = ql THEN 1 ELSE 0 END) AS recall, max(CASE WHEN el >= 8 THEN 1 ELSE 0 END) AS pen, max(CASE WHEN el = ql THEN 1.0 / rank ELSE 0 END) AS rr FROM r GROUP BY ALL),
+    a AS (SELECT avg(CASE WHEN stage = 'clean' THEN recall END) AS c, avg(CASE WHEN stage = 'control' THEN recall END) AS k, avg(CASE WHEN stage = 'noisy' THEN recall END) AS n, avg(CASE WHEN stage = 'noisy' THEN pen END) AS p,
+      avg(CASE WHEN stage = 'clean' THEN rr END) AS mc, avg(CASE WHEN stage = 'control' THEN rr END) AS mk, avg(CASE WHEN stage = 'noisy' THEN rr END) AS mn FROM q)
+    SELECT round(c, 6) AS recall_clean, round(k, 6) AS recall_control, round(n, 6) AS recall_noisy, round(mc, 6) AS mrr_clean, round(mk, 6) AS mrr_control, round(mn, 6) AS mrr_noisy,
+     round(p, 6) AS penetration, round(c - k, 6) AS scale_drop, round(k - n, 6) AS interference_drop,
      CASE WHEN p < 0.1 THEN 'INCONCLUSIVE' WHEN k - n < 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a""",
 )
 def needle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels below 7 are the clean corpus, 7 the control documents and 8, 9 the noisy ones; each stage adds to the last."""
+    """Labels below 7 are the clean corpus, 7 the control documents and 8, 9 the noisy ones; each stage adds to the last.
+
+    Each stage is a search of its own corpus. Queries are the asking vectors with relevant rows in the clean corpus.
+    """
     e = embeddings(spark, sf_dir).select("vec_id", "label")
-    hits = neighbours(spark, sf_dir, 10).join(e, "vec_id").join(
-        e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id"
-    )
-    # One row per stage a hit belongs to, instead of three searches.
-    names = F.array_compact(
-        F.array(F.when(F.col("label") < 7, F.lit("clean")), F.when(F.col("label") < 8, F.lit("control")), F.lit("noisy"))
-    )
-    staged = hits.withColumn("stage", F.explode(names))
-    order = C.Window.partitionBy("stage", "query_id").orderBy(F.desc("score"), "vec_id")
-    per = (
-        staged.withColumn("rn", F.row_number().over(order))
-        .where("rn <= 5")
-        .groupBy("stage", "query_id")
-        .agg(
-            F.max((F.col("label") == F.col("q_label")).cast("int")).alias("recall"),
-            F.max((F.col("label") >= 8).cast("int")).alias("penetrated"),
-        )
+    mine = e.where("label < 7").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    staged = None
+    for stage, corpus in STAGES.items():
+        found = neighbours(spark, sf_dir, 5, corpus).select(F.lit(stage).alias("stage"), "query_id", "vec_id", "rank")
+        staged = found if staged is None else staged.unionByName(found)
+    hit = F.col("label") == F.col("q_label")
+    per = staged.join(mine, "query_id").join(e, "vec_id").groupBy("stage", "query_id").agg(
+        F.max(hit.cast("int")).alias("recall"),
+        F.max((F.col("label") >= 8).cast("int")).alias("penetrated"),
+        F.max(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"),
     )
     out = C.needle_verdict(per)
     return out.select(*[F.round(c, 6).alias(c) if c != "verdict" else F.col(c) for c in out.columns])
@@ -325,21 +329,27 @@ def operating_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.operating_point(A.scan(pairs_with_cosine(spark, sf_dir)), 0.4, 0.4)
 
 
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"
+_FOLD = "trim(regexp_replace(regexp_replace(lower(replace({0}, '，', ',')), '\\s+', ' ', 'g'), '([,.!?;:]) ', '\\1', 'g'))"
+
+
 @query(
     "annotation_grounding",
-    """SELECT doc_id, n_chars > 400 AS grounded, round(overlap, 6) AS overlap FROM (SELECT doc_id, n_chars,
-      coalesce(len(list_intersect(list_distinct(regexp_extract_all(lower(left(text, 60)), '[\\p{L}\\p{N}]+')), list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}]+')))) / nullif(len(list_distinct(regexp_extract_all(lower(left(text, 60)), '[\\p{L}\\p{N}]+'))), 0), 0) AS overlap FROM documents)""",
+    f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS first_line, string_split(text, chr(10))[-1] AS last_line FROM documents),
+     q AS (SELECT *, replace(replace(CASE WHEN doc_id % 3 > 0 THEN first_line ELSE concat(last_line, ' ', first_line) END, ' ', '  '), ',', '，') AS quote FROM d)
+     SELECT doc_id, {_FOLD.format('quote')} <> '' AND contains({_FOLD.format('text')}, {_FOLD.format('quote')}) AS grounded,
+      round(coalesce(len(list_intersect({_WORDS.format('first_line')}, {_WORDS.format('last_line')})) / nullif(len({_WORDS.format('first_line')}), 0), 0), 6) AS overlap FROM q""",
 )
 def annotation_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with changed marks and blanks are found again; quotes of short documents carry a foreign word."""
-    d = table(spark, sf_dir, "documents").select(
-        "doc_id", "n_chars", "text", F.replace(F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("  ")), F.lit(","), F.lit("，")).alias("q")
-    )
-    quote = F.when(F.col("n_chars") > 400, F.col("q")).otherwise(F.concat("q", F.lit(" qqqq")))
+    """Lines with changed marks and blanks are found again in the whole text; lines put in a wrong order are not."""
+    lines = F.split("text", "\n", -1)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.get(lines, F.lit(0)).alias("a"), F.element_at(lines, -1).alias("z"))
+    quote = F.when(F.col("doc_id") % 3 > 0, F.col("a")).otherwise(F.concat("z", F.lit(" "), "a"))
+    quote = F.replace(F.replace(quote, F.lit(" "), F.lit("  ")), F.lit(","), F.lit("，"))
     return d.select(
         "doc_id",
         A.quote_present(quote, F.col("text")).alias("grounded"),
-        F.round(A.term_overlap(F.substring("text", 1, 60), F.substring("text", 1, 200)), 6).alias("overlap"),
+        F.round(A.term_overlap(F.col("a"), F.col("z")), 6).alias("overlap"),
     )
 
 
@@ -382,12 +392,12 @@ def delete_and_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "topic_distance",
-    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id) GROUP BY 1, 2),
+    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0) GROUP BY 1, 2),
     r AS (SELECT round(dist, 6) AS v, row_number() OVER (ORDER BY round(dist, 6)) - 1 AS i, count(*) OVER () AS n FROM d)
     SELECT any_value(n) AS n, max(CASE WHEN i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT)) THEN v END) AS p5, max(CASE WHEN i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) THEN v END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) THEN v END) AS p95 FROM r""",
 )
 def topic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every topic vector to its nearest other vector, and nearest-rank percentiles of it."""
+    """Distance of every asking vector to its nearest other vector, and nearest-rank percentiles of it."""
     from quire.operators.ordered import percentiles
 
     near = materialize(

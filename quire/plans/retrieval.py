@@ -35,12 +35,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
-def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Each vector's k nearest other vectors: query_id, vec_id, score, rank."""
+#: The vectors that ask: a fixed share of all, so that searches do not compare everything with everything.
+ASKS = "{0} % 100 = 0"
+
+
+def asking(e: DataFrame) -> DataFrame:
+    return e.where(ASKS.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def neighbours(spark: SparkSession, sf_dir: str, k: int, corpus: str = "true") -> DataFrame:
+    """The k nearest other vectors of each asking vector among the rows of ``corpus``: query_id, vec_id, score, rank."""
     e = embeddings(spark, sf_dir)
-    hits = dense_topk(
-        e, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), k + 1, "vec_id", "embedding"
-    )
+    hits = dense_topk(e.where(corpus), asking(e), k + 1, "vec_id", "embedding")
     # The vector itself is usually first; whatever its place, k others remain among k + 1.
     own = F.max(F.when(F.col("vec_id") == F.col("query_id"), F.col("rank"))).over(fusion.Window.partitionBy("query_id"))
     return (
@@ -53,20 +59,19 @@ def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 DOT = "round(list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
 
 
-def neighbours_sql(k: int) -> str:
-    return f"""nb AS (SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id)) WHERE rank <= {k})"""
+def neighbours_sql(k: int, corpus: str = "TRUE", name: str = "nb") -> str:
+    return f"""{name} AS (SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE {ASKS.format("q.vec_id")} AND {corpus})) WHERE rank <= {k})"""
 
 
 @query(
     "dense_topk",
     f"""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-    FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q, embeddings e)) WHERE rank <= 10""",
+    FROM (SELECT q.vec_id AS query_id, e.vec_id, {DOT.format(a='q.embedding', b='e.embedding')} AS score FROM embeddings q, embeddings e WHERE {ASKS.format('q.vec_id')})) WHERE rank <= 10""",
 )
 def dense_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return dense_topk(e, q, 10, "vec_id", "embedding")
+    return dense_topk(e, asking(e), 10, "vec_id", "embedding")
 
 
 def bm25_sql(docs: str, queries: str, k: int, out: str) -> str:
@@ -98,18 +103,19 @@ def bm25_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_topk(postings(docs), query_terms(bench_queries(spark, sf_dir)), 10)
 
 
-# Few query words, so that many documents match none and the list is filled with score 0.
+# One word per query or none, so that many documents match nothing and the list is filled with score 0.
 @query(
     "bm25_topk_filled",
-    f"""WITH dc AS (SELECT doc_id AS id, text FROM documents), bq AS (SELECT item_id AS query_id, concat('xyzzy ', left(text, 4)) AS text FROM benchmark),
+    f"""WITH dc AS (SELECT doc_id AS id, text FROM documents), bq AS (SELECT item_id AS query_id, concat('xyzzy ', CASE WHEN item_id % 3 > 0 THEN regexp_extract(text, '[\p{{L}}\p{{N}}]+') ELSE '' END) AS text FROM benchmark),
     {bm25_sql('dc', 'bq', 1000000000, 'bm')},
     al AS (SELECT q.query_id, d.id, coalesce(score, 0) AS score FROM bq q CROSS JOIN dc d LEFT JOIN bm ON bm.query_id = q.query_id AND bm.id = d.id)
     SELECT query_id, id AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM al) WHERE rank <= 10""",
 )
 def bm25_topk_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    q = bench_queries(spark, sf_dir).withColumn("query", F.concat(F.lit("xyzzy "), F.substring("query", 1, 4)))
-    return bm25_topk(postings(docs), query_terms(q), 10, match_only=False)
+    word = F.when(F.col("query_id") % 3 > 0, F.regexp_extract("query", r"[\p{L}\p{N}]+", 0)).otherwise("!!!")
+    q = bench_queries(spark, sf_dir).withColumn("query", word)
+    return bm25_topk(postings(docs), query_terms(q), 10, match_only=False, queries=q)
 
 
 def doc_lists(spark: SparkSession, sf_dir: str):
