@@ -10,8 +10,9 @@ from quire.operators import evaluation as E
 from quire.operators import observe as O
 from quire.operators import runs as R
 from quire.operators.ordered import cumulative, percentiles
+from quire.operators.reports import backend_stats
 from quire.plans.common import table
-from quire.plans.retrieval import ASKS, embeddings, neighbours, neighbours_sql
+from quire.plans.retrieval import asked, embeddings, neighbours, neighbours_sql
 from quire.session import materialize
 
 QUERIES = {}
@@ -50,7 +51,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.col(f"g{g}") - (F.col("grade") == g).cast("int")
         return F.array_repeat(F.lit(g), F.least(F.lit(5), left).cast("int"))
 
-    totals = e.where(ASKS.format("vec_id")).join(per_label, "label").join(per_file, "file").select(
+    totals = asked(spark, sf_dir, e).join(per_label, "label").join(per_file, "file").select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("c"), F.col("label")).alias("category"),
         F.when(F.col("label") < 5, "single_chunk").otherwise("multi_chunk").alias("difficulty"),
@@ -112,17 +113,16 @@ def grouped_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in out.columns])
 
 
-@query(
-    "run_compare",
-    f"""WITH {BASE_SQL}, lo AS (SELECT query_id, 'recall_at_k' AS metric, CAST(recall_at_k AS DOUBLE) AS a, CASE WHEN precision_at_k > 0.3 THEN recall_at_k * 0.9 ELSE recall_at_k + mrr * 0.1 END AS b FROM pd WHERE category <> 'c9'
+COMPARE_SQL = f"""WITH RECURSIVE {BASE_SQL}, lo AS (SELECT query_id, 'recall_at_k' AS metric, CAST(recall_at_k AS DOUBLE) AS a, CASE WHEN precision_at_k > 0.3 THEN recall_at_k * 0.9 ELSE recall_at_k + mrr * 0.1 END AS b FROM pd WHERE category <> 'c9'
       UNION ALL SELECT query_id, 'mrr', mrr, CASE WHEN precision_at_k > 0.3 THEN mrr * 0.9 ELSE mrr + mrr * 0.1 END FROM pd WHERE category <> 'c9'
       UNION ALL SELECT query_id, 'ndcg_at_k', ndcg_at_k, CASE WHEN precision_at_k > 0.3 THEN ndcg_at_k * 0.9 ELSE ndcg_at_k + mrr * 0.1 END FROM pd WHERE category <> 'c9'),
     df AS (SELECT metric, round(a - b, 12) AS d FROM lo),
     ra AS (SELECT metric, d, rank() OVER w + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / CAST(2 AS DOUBLE) AS r FROM df WHERE d <> 0 WINDOW w AS (PARTITION BY metric ORDER BY abs(d))),
     sg AS (SELECT metric, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END) AS w_minus FROM ra GROUP BY metric),
-    me AS (SELECT metric, count(*) AS pairs, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b) - avg(a), 6) AS delta FROM lo GROUP BY metric)
-    SELECT metric, pairs, a, b, delta, n, w_plus, w_minus FROM me JOIN sg USING (metric)""",
-)
+    me AS (SELECT metric, count(*) AS pairs, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b) - avg(a), 6) AS delta FROM lo GROUP BY metric)"""
+
+
+@query("run_compare", COMPARE_SQL + " SELECT metric, pairs, a, b, delta, n, w_plus, w_minus FROM me JOIN sg USING (metric)")
 def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = compared_runs(spark, sf_dir)
     pairs = R.paired(a, b, ["recall_at_k", "mrr", "ndcg_at_k"])
@@ -152,10 +152,26 @@ def compared_runs(spark: SparkSession, sf_dir: str):
     return a, b
 
 
-@query("run_significance")
+@query(
+    "run_significance",
+    COMPARE_SQL
+    + """,
+    ti AS (SELECT metric, sum(pow(c, 3) - c) AS tie_term FROM (SELECT metric, abs(d) AS size, count(*) AS c FROM df WHERE d <> 0 GROUP BY ALL) GROUP BY metric),
+    ze AS (SELECT metric, count(*) FILTER (d = 0) AS zeros FROM df GROUP BY metric),
+    dp AS (SELECT 0 AS i, list_transform(range(0, 1276), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS ways
+      UNION ALL SELECT i + 1, list_transform(ways, lambda w, j: w + CASE WHEN j - 1 > i THEN ways[j - 1 - i] ELSE 0 END) FROM dp WHERE i < 50),
+    st AS (SELECT *, least(w_plus, w_minus) AS low, sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * tie_term) / 24) AS sp FROM sg JOIN ti USING (metric) JOIN ze USING (metric)),
+    zz AS (SELECT *, CASE WHEN sp > 0 THEN abs(low - n * (n + 1) / 4.0) / sp / sqrt(2) ELSE 0 END AS x FROM st),
+    pr AS (SELECT metric, CASE WHEN n <= 50 AND tie_term = 0 AND zeros = 0 THEN least(1, 2 * (SELECT list_sum(ways[1:CAST(floor(low) AS INT) + 1]) FROM dp WHERE dp.i = n) / pow(2, n))
+      WHEN sp = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * (SELECT sum(exp(k * ln(2) + (2 * k + 1) * ln(greatest(x, 1e-12)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))) FROM (SELECT unnest(range(0, 400)) AS k)) END AS p FROM zz),
+    ok AS (SELECT metric, p FROM pr JOIN me USING (metric) WHERE pairs >= 6),
+    ho AS (SELECT metric, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1)) AS p_value FROM ok)
+    SELECT metric, pairs, a, b, delta, round(p_value, 6) AS p_value, p_value < 0.05 AS significant FROM me LEFT JOIN ho USING (metric)""",
+)
 def run_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = compared_runs(spark, sf_dir)
-    return R.compare(a, b, ["recall_at_k", "mrr", "ndcg_at_k"])
+    out = R.compare(a, b, ["recall_at_k", "mrr", "ndcg_at_k"])
+    return out.select("metric", "pairs", *[F.round(c, 6).alias(c) for c in ("a", "b", "delta", "p_value")], "significant")
 
 
 @query(
@@ -280,13 +296,8 @@ def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def backend_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("value") >= 20
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("backend")).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(ok).alias("success"),
-        F.round(F.count_if(ok) / F.count(F.lit(1)), 6).alias("success_rate"),
-        F.count_if(F.col("value") < 5).alias("quality_fail"),
-        F.count_if(~ok & (F.col("value") >= 5)).alias("timeout"),
-    )
+    runs = table(spark, sf_dir, "events").withColumnRenamed("event_type", "backend")
+    return backend_stats(runs, "backend", ok, {"quality_fail": F.col("value") < 5, "timeout": ~ok & (F.col("value") >= 5)})
 
 
 @query(

@@ -392,7 +392,7 @@ def delete_and_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "topic_distance",
-    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0) GROUP BY 1, 2),
+    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2),
     r AS (SELECT round(dist, 6) AS v, row_number() OVER (ORDER BY round(dist, 6)) - 1 AS i, count(*) OVER () AS n FROM d)
     SELECT any_value(n) AS n, max(CASE WHEN i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT)) THEN v END) AS p5, max(CASE WHEN i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) THEN v END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) THEN v END) AS p95 FROM r""",
 )

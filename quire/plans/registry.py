@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, evaluation, more, quality, retrieval, streams
+from quire.plans import documents, evaluation, extras, more, quality, retrieval, streams
 
-MODULES = (documents, retrieval, evaluation, quality, streams, more)
+MODULES = (documents, retrieval, evaluation, quality, streams, more, extras)
 
 
 def all_queries() -> dict:

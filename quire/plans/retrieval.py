@@ -35,18 +35,24 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
-#: The vectors that ask: a fixed share of all, so that searches do not compare everything with everything.
-ASKS = "{0} % 100 = 0"
+#: The vectors that ask: those named by the benchmark, a table of its own that does not grow with the corpus.
+ASKS = "{0} IN (SELECT item_id FROM benchmark)"
 
 
-def asking(e: DataFrame) -> DataFrame:
-    return e.where(ASKS.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def asked(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
+    """The rows of ``e`` whose ``vec_id`` the benchmark names."""
+    return e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+
+
+def asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = asked(spark, sf_dir, embeddings(spark, sf_dir))
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int, corpus: str = "true") -> DataFrame:
     """The k nearest other vectors of each asking vector among the rows of ``corpus``: query_id, vec_id, score, rank."""
     e = embeddings(spark, sf_dir)
-    hits = dense_topk(e.where(corpus), asking(e), k + 1, "vec_id", "embedding")
+    hits = dense_topk(e.where(corpus), asking(spark, sf_dir), k + 1, "vec_id", "embedding")
     # The vector itself is usually first; whatever its place, k others remain among k + 1.
     own = F.max(F.when(F.col("vec_id") == F.col("query_id"), F.col("rank"))).over(fusion.Window.partitionBy("query_id"))
     return (
@@ -71,7 +77,7 @@ def neighbours_sql(k: int, corpus: str = "TRUE", name: str = "nb") -> str:
 )
 def dense_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return dense_topk(e, asking(e), 10, "vec_id", "embedding")
+    return dense_topk(e, asking(spark, sf_dir), 10, "vec_id", "embedding")
 
 
 def bm25_sql(docs: str, queries: str, k: int, out: str) -> str:
@@ -106,7 +112,7 @@ def bm25_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One word per query or none, so that many documents match nothing and the list is filled with score 0.
 @query(
     "bm25_topk_filled",
-    f"""WITH dc AS (SELECT doc_id AS id, text FROM documents), bq AS (SELECT item_id AS query_id, concat('xyzzy ', CASE WHEN item_id % 3 > 0 THEN regexp_extract(text, '[\p{{L}}\p{{N}}]+') ELSE '' END) AS text FROM benchmark),
+    f"""WITH dc AS (SELECT doc_id AS id, text FROM documents), bq AS (SELECT item_id AS query_id, concat('xyzzy ', CASE WHEN item_id % 3 > 0 THEN regexp_extract(text, '[\\p{{L}}\\p{{N}}]+') ELSE '' END) AS text FROM benchmark),
     {bm25_sql('dc', 'bq', 1000000000, 'bm')},
     al AS (SELECT q.query_id, d.id, coalesce(score, 0) AS score FROM bq q CROSS JOIN dc d LEFT JOIN bm ON bm.query_id = q.query_id AND bm.id = d.id)
     SELECT query_id, id AS doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM al) WHERE rank <= 10""",

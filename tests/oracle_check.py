@@ -45,7 +45,7 @@ def compare(spark, sf_dir, name, fn, sql):
     rows = [tuple(r) for r in df.collect()]
     took = time.time() - start
     if sql is None:
-        return True, f"{len(rows)} rows, no SQL", took
+        return False, f"{len(rows)} rows, no SQL to compare with", took
     start = time.time()
     cols, want = oracle_rows(sf_dir, sql)
     sql_took = time.time() - start

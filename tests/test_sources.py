@@ -199,6 +199,7 @@ def test_guard_and_names(spark):
 
 @pytest.mark.parametrize("control,noisy,pen,want", [(0.9, 0.88, 0.2, "PASS"), (0.9, 0.8, 0.2, "FAIL"), (0.9, 0.8, 0.05, "INCONCLUSIVE")])
 def test_needle(spark, control, noisy, pen, want):
-    rows = [("clean", 0.9, False)] * 20 + [("control", control, False)] * 20 + [("noisy", noisy, i < pen * 20) for i in range(20)]
-    df = spark.createDataFrame(rows, "stage string, recall double, penetrated boolean")
-    assert needle_verdict(df).head().verdict == want
+    rows = [("clean", 0.9, 0.5, False)] * 20 + [("control", control, 0.5, False)] * 20 + [("noisy", noisy, 0.4, i < pen * 20) for i in range(20)]
+    df = spark.createDataFrame(rows, "stage string, recall double, mrr double, penetrated boolean")
+    row = needle_verdict(df).head()
+    assert row.verdict == want and abs(row.mrr_noisy - 0.4) < 1e-9
