@@ -143,11 +143,16 @@ def _ship() -> None:
     ship_by_value("quire.llm.words")
 
 
-def training_bags(labelled: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, bag sizes and labels of the bounded sample of rows with ``_good``."""
+def training_bags(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, bag sizes and labels of the bounded sample of documents named in ``good`` (``_id``, ``_good``).
+
+    Ids are chosen first, so tasks send ids and no texts; of rows with the same id one text is taken.
+    """
     _ship()
-    sample = labelled.select(F.xxhash64(key).alias("_h"), F.col(key).alias("_k"), F.col("_good").cast("int").alias("_y"), F.col(text).alias("_text"))
-    sample = sample.orderBy("_h", "_k").limit(TRAIN_DOCS).select("_y", "_text")
+    known = docs.select(F.col(key).alias("_id")).join(broadcast_checked(good), "_id").distinct()
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_DOCS)  # a fixed number of rows, so it can be broadcast
+    sample = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+    sample = sample.groupBy("_id").agg(F.min("_text").alias("_text"), F.first(F.col("_good").cast("int")).alias("_y")).select("_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
@@ -158,16 +163,16 @@ def training_bags(labelled: DataFrame, text: str = "text", key: str = "doc_id")
                 packed = [x[s + np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).round().astype(int))].tobytes() for s, n in zip(begin, per, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(packed, pa.binary())], names=["y", "x"])
 
-    rows = sample.repartition(8).mapInArrow(run, "y int, x binary").collect()
+    rows = sample.mapInArrow(run, "y int, x binary").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the same model however the sample was dealt out
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, N_FEATURES))
     return x, np.array([len(b) for b in bags], np.int64), np.array([r["y"] for r in rows], np.float64)
 
 
-def train(labelled: DataFrame, text: str = "text", key: str = "doc_id") -> dict:
+def train(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_id") -> dict:
     """The fitted model, or a constant where only one kind of label exists."""
-    x, bags, y = training_bags(labelled, text, key)
+    x, bags, y = training_bags(docs, good, text, key)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y[0]) if len(y) else 0.5}
     return fit(x, bags, y)
@@ -203,7 +208,6 @@ def op7_quality_mil(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_id"))
         .agg((F.min("quality") == 1).alias("_good"))
     )
-    labelled = docs.select("doc_id", "text").join(broadcast_checked(good), F.col("doc_id") == F.col("_id"))
-    return score(docs, train(labelled)).select(
+    return score(docs, train(docs, good)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
