@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import context_text
+from quire.session import materialize
 from quire.settings import DEFAULTS, Settings
 
+#: Ranked rows (a few numbers and an id each) that may be sent to the store they are fetched from.
+FETCH_ROWS = 200_000
+
 
 def rrf(dense: DataFrame, sparse: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Reciprocal rank fusion: query_id, key, rrf_score, first_list, first_rank.
@@ -128,8 +132,13 @@ def rerank(
 
 
 def attach(rows: DataFrame, parents: DataFrame, key: str = "key") -> DataFrame:
-    """Fetch parents for ranked ids; an id without a parent is dropped."""
-    return rows.join(parents.withColumnRenamed("chunk_id", key), key)
+    """Fetch parents for ranked ids; an id without a parent is dropped.
+
+    The ranked rows are few beside the store: up to ``FETCH_ROWS`` of them go to the store, so its texts stay in place.
+    """
+    rows = materialize(rows, "ranked")
+    few = F.broadcast(rows) if rows.count() <= FETCH_ROWS else rows
+    return parents.withColumnRenamed("chunk_id", key).join(few, key)
 
 
 def contexts(rows: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT CASE WHEN lang = 'fr' AND length(text) > 400 THEN 'second' WHEN lang = 'fr' THEN 'none' ELSE 'first' END AS backend, count(*) AS docs FROM documents GROUP BY 1""",
 )
 def parse_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pin(markdown_docs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "t", F.col("md"))
+    docs = pin(spread(table(spark, sf_dir, "documents")).selectExpr("doc_id", "lang", "source", "text", f"{MARKDOWN} AS md"), "t", F.col("md"))
     none = F.lit(None).cast("int")
     second = F.when(F.length("text") > 400, F.col("text"))
     best = Q.first_good(

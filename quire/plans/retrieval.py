@@ -179,10 +179,10 @@ def rerank_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     def closeness(q, t):
         return F.length(t).cast("double") / (1 + F.abs(F.length(t) - F.length(q) * 10))
 
-    # Scores need lengths only; texts join again for the few rows that stay.
-    slim = pool.join(full.select("key", "content"), "key").join(bench, "query_id")
-    best = fusion.rerank(slim, closeness, 5).select("query_id", "key", "rank")
-    rows = best.join(full, "key").withColumn("title", F.lit(None).cast("string"))
+    store = full.withColumnRenamed("key", "chunk_id")
+    candidates = fusion.attach(pool, store.select("chunk_id", "content")).join(bench, "query_id")
+    best = fusion.rerank(candidates, closeness, 5).select("query_id", "key", "rank")
+    rows = fusion.attach(best, store).withColumn("title", F.lit(None).cast("string"))
     ids = rows.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("doc_ids"),
         X.context_text(F.array_sort(F.collect_list(F.struct("rank", "title", "source", "content")))).alias("context"),
