@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import fusion, observe
 from quire.operators import reports as R
+from quire.operators.chunking import child_chunks, parent_chunks, with_quality
 from quire.operators.search import bm25_topk, postings, query_terms
 from quire.plans.common import table
 from quire.plans.evaluation import CALLS, _calls
 from quire.plans.retrieval import BOOSTS, MERGE_SQL, bench_queries, merge_inputs
-from quire.session import materialize, spread
+from quire.session import materialize, shared_dir, spread
+from quire.sources.store import ChunkStore, record_run
 
 QUERIES = {}
 ORACLES = {}
@@ -195,3 +200,36 @@ def seeded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return bm25_topk(postings(docs), query_terms(bench_queries(spark, sf_dir)), 10, idf="okapi")
+
+
+@query(
+    "chunk_store",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b2' ELSE 'b1' END AS batch, CASE WHEN doc_id % 2 = 0 THEN length(upper(text)) ELSE length(text) END AS n_chars
+    FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0""",
+)
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches with an overlap and a rollback; what the store shows in the end."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    again = docs.where("CAST(doc_id AS BIGINT) % 2 = 0").withColumn("text", F.upper("text"))
+    for n, (batch, rows) in enumerate({"b1": docs, "b2": again}.items()):
+        parents = materialize(parent_chunks(with_quality(rows)), "store-parents")
+        store.ingest(parents, child_chunks(parents), batch, start + dt.timedelta(hours=n))
+    store.rollback(docs.where("CAST(doc_id AS BIGINT) % 5 = 0"), start + dt.timedelta(hours=3))
+    live = store.parents().groupBy("doc_id", "batch").agg(F.sum(F.length("content")).alias("n_chars"))
+    return live.select("doc_id", "batch", "n_chars")
+
+
+@query(
+    "run_history",
+    """SELECT 'run' || CASE WHEN n > 1 THEN '-' || (n - 1) ELSE '' END AS run_id, n AS day, round(v, 6) AS mrr FROM (SELECT row_number() OVER (ORDER BY lang) AS n, avg(n_chars) AS v FROM documents GROUP BY lang) ORDER BY n DESC LIMIT 3""",
+)
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per language under the same name; names are made unique and the newest three are kept."""
+    path = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    by_lang = table(spark, sf_dir, "documents").groupBy("lang").agg(F.avg("n_chars").alias("mrr"))
+    for n, row in enumerate(by_lang.orderBy("lang").collect(), 1):  # one row per language
+        run = spark.range(1).select(F.lit("run").alias("run_id"), F.lit(f"2024-01-{n:02d} 00:00:00").cast("timestamp").alias("ts"), F.lit(row["mrr"]).alias("mrr"))
+        history = record_run(spark, path, run, keep=3)
+    return history.select("run_id", F.dayofmonth("ts").alias("day"), F.round("mrr", 6).alias("mrr"))

@@ -16,6 +16,11 @@ FORMATS = ("txt", "md", "html", "htm", "docx", "pptx", "pdf")
 PARSED = "struct<markdown:string,decision:string,colpali:boolean,vlm_candidates:int,error:string>"
 
 
+def _glob(kinds: tuple[str, ...]) -> str:
+    """File name pattern for suffixes in any case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in k) for k in kinds) + "}"
+
+
 def _visible(path: Column, skip: tuple[str, ...]) -> Column:
     """False for paths with a hidden segment or a skipped folder."""
     hidden = path.rlike(r"/\.[^/]+")
@@ -37,22 +42,18 @@ def load_documents(
     pdf, for which no library is assumed) to a function from the file content to the struct ``PARSED``. A file that
     fails or whose suffix no parser knows keeps a row with ``error`` and no text.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(base_dir)
-        .select("path", "content")
-        .where(_visible(F.substring("path", F.instr("path", base_dir.rstrip("/")) + len(base_dir.rstrip("/")), F.length("path")), skip))
-    )
-    files = files.withColumn("doc_type", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(
-        F.col("doc_type").isin(*FORMATS)
-    )
+    def files(kinds: tuple[str, ...]) -> DataFrame:
+        """Files with one of the suffixes; others are left out by name, so each file is read once."""
+        below = F.substring("path", F.instr("path", base_dir.rstrip("/")) + len(base_dir.rstrip("/")), F.length("path"))
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(kinds)).load(base_dir)
+        return found.select("path", "content", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("doc_type")).where(_visible(below, skip))
+
     text = F.decode(F.col("content"), "UTF-8")
     plain = F.struct(text.alias("markdown"), F.lit("whole_text").alias("decision"), F.lit(False).alias("colpali"),
                      F.lit(0).alias("vlm_candidates"), F.lit(None).cast("string").alias("error")).cast(PARSED)
 
     def branch(kinds: tuple[str, ...], parsed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        return parsed(files.where(F.col("doc_type").isin(*kinds))).select("path", "doc_type", "parsed")
+        return parsed(files(kinds)).select("path", "doc_type", "parsed")
 
     def html(df: DataFrame) -> DataFrame:
         page = pin(df, "_page", read_page(F.decode(F.col("content"), "UTF-8")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import fit_bytes
 from quire.operators.observe import newest, redact
+from quire.session import materialize
 from quire.settings import DEFAULTS
 
 FORMAT_VERSION = 1
@@ -30,9 +31,7 @@ class ChunkStore:
         return f"{self.root}/{name}"
 
     def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return _there(self.spark, self._path(name))
 
     def _mark(self, docs: DataFrame, status: str, step: int, at: dt.datetime, batch: str | None = None) -> None:
         rows = docs.select(
@@ -55,13 +54,17 @@ class ChunkStore:
         return self.log().groupBy("doc_id", "batch").agg(last).select("doc_id", "batch", "s.status", "s.at")
 
     def ingest(self, parents: DataFrame, children: DataFrame, batch: str, at: dt.datetime | None = None) -> bool:
-        """Write one batch of documents; earlier versions of the same documents give way. No parents, no change."""
+        """Write one batch of documents; earlier versions of the same documents give way. No parents, no change.
+
+        Parents are computed once, by their write; the ids come from what was written. Nothing is visible before the log.
+        """
         at = at or dt.datetime.now(dt.timezone.utc)
-        docs = parents.select("doc_id").distinct()
-        if parents.isEmpty():
+        folder = self._path(f"parents/batch={batch}")
+        parents.write.mode("overwrite").parquet(folder)
+        docs = self.spark.read.schema(parents.schema).parquet(folder).select("doc_id").distinct()
+        if docs.isEmpty():
             return False
         self._mark(docs, "suspending", 1, at, batch)
-        parents.write.mode("overwrite").parquet(self._path(f"parents/batch={batch}"))
         children.withColumn("content", fit_bytes(F.col("content"))).write.mode("overwrite").parquet(
             self._path(f"children/batch={batch}")
         )
@@ -113,16 +116,31 @@ class ChunkStore:
 
 
 def record_run(spark: SparkSession, path: str, run: DataFrame, keep: int = DEFAULTS.max_runs) -> DataFrame:
-    """Append one run (run_id, ts, ...) and return the newest runs. A taken run_id gets a counting suffix."""
+    """Append one run (run_id, ts, ...), cut the history to the newest runs and return it.
+
+    A taken run_id gets the next free counting suffix.
+    """
     run_id = run.first()["run_id"]
-    try:
-        known = spark.read.schema(run.schema).parquet(path)
-        taken = known.where((F.col("run_id") == run_id) | F.col("run_id").rlike(f"^{run_id}-[0-9]+$")).count()
-    except Exception:  # no history yet
-        taken = 0
-    name = run_id if taken == 0 else f"{run_id}-{taken}"
+    name = run_id
+    if _there(spark, path):
+        known = spark.read.schema(run.schema).parquet(path).select("run_id")
+        rest = F.substring("run_id", len(run_id) + 2, 20)
+        number = F.when(F.col("run_id") == run_id, 0).when(
+            F.col("run_id").startswith(f"{run_id}-") & rest.rlike("^[0-9]{1,9}$"), rest.cast("int")
+        )
+        last = known.agg(F.max(number)).first()[0]
+        name = run_id if last is None else f"{run_id}-{last + 1}"
     run.withColumn("run_id", F.lit(name)).write.mode("append").parquet(path)
-    return newest(spark.read.schema(run.schema).parquet(path), "ts", keep, "run_id")
+    history = spark.read.schema(run.schema).parquet(path)
+    if history.count() > keep:
+        materialize(newest(history, "ts", keep, "run_id"), "runs").write.mode("overwrite").parquet(path)
+        history = spark.read.schema(run.schema).parquet(path)
+    return history
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_report(path: str, per_query: DataFrame, judged: DataFrame | None, summary: DataFrame) -> None:
