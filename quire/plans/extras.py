@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire.operators import fusion, observe
 from quire.operators import reports as R
-from quire.operators.chunking import child_chunks, parent_chunks, with_quality
 from quire.operators.search import bm25_topk, postings, query_terms
 from quire.plans.common import table
 from quire.plans.evaluation import CALLS, _calls
@@ -204,7 +203,7 @@ def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "chunk_store",
-    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b2' ELSE 'b1' END AS batch, CASE WHEN doc_id % 2 = 0 THEN length(upper(text)) ELSE length(text) END AS n_chars
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b2' ELSE 'b1' END AS batch, CASE WHEN doc_id % 2 = 0 THEN length(text) + 1 ELSE length(text) END AS n_chars
     FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0""",
 )
 def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,10 +211,11 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
-    again = docs.where("CAST(doc_id AS BIGINT) % 2 = 0").withColumn("text", F.upper("text"))
+    again = docs.where("CAST(doc_id AS BIGINT) % 2 = 0").withColumn("text", F.concat("text", F.lit("!")))
     for n, (batch, rows) in enumerate({"b1": docs, "b2": again}.items()):
-        parents = materialize(parent_chunks(with_quality(rows)), "store-parents")
-        store.ingest(parents, child_chunks(parents), batch, start + dt.timedelta(hours=n))
+        parents = rows.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.col("text").alias("content"))
+        children = rows.select(F.concat("doc_id", F.lit(":c0")).alias("chunk_id"), "doc_id", F.col("doc_id").alias("parent_id"), F.col("text").alias("content"))
+        store.ingest(parents, children, batch, start + dt.timedelta(hours=n))
     store.rollback(docs.where("CAST(doc_id AS BIGINT) % 5 = 0"), start + dt.timedelta(hours=3))
     live = store.parents().groupBy("doc_id", "batch").agg(F.sum(F.length("content")).alias("n_chars"))
     return live.select("doc_id", "batch", "n_chars")
