@@ -6,11 +6,12 @@ set indexes only the ``budget + 1`` cheapest, by content: largest first (a large
 key. Among the equal segments the cheapest one is passed over by neither side, so it is always met. Sets whose budget
 is one use the whole set and its one-deletion neighbourhood instead.
 
-Buckets with two different sets go on: first each member is compared with the bucket's smallest member, and what is linked is
-merged into components. Only members of a bucket that lie in different components are compared further. Buckets of
-more than ``BUCKET`` sets, as frequent passages make them, are refined before: their members meet again only if they agree,
-up to one deletion, in a segment twice as large of a second, independent partition. Every comparison is exact on
-64-bit shingle hashes (bit-wise collisions have a chance of about 2 ** -64 per pair of shingles).
+Buckets with two different sets go on: first each member is compared with the bucket's pivot, the member that shares most
+with others, and what is linked is merged into components. Only buckets that still hold different components are looked at
+again. Those of more than ``BUCKET`` sets, as frequent passages make them, are refined: their members meet again only if
+they agree, up to one deletion, in a segment twice as large of a second, independent partition. What still meets is
+compared in blocks of sets around the same pivot; a block's comparisons return links only. Every comparison is exact on
+64-bit shingle hashes (two different shingles are taken for one with a chance of about 2 ** -64).
 
 Copies (equal sets) are one node throughout. Tasks work on slices of Arrow batches; nothing else is gathered.
 
@@ -149,6 +150,11 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(np.concatenate(sets) if sets else np.zeros(0, np.uint64)))
+
+
 def _ship() -> None:
     for module in (__name__, "quire.llm.words"):
         ship_by_value(module)
@@ -200,7 +206,7 @@ def _index(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """``sid, tag, n, data`` (packed hashes) of the wanted sets, read again from one text each."""
+    """``sid, tag, n, data`` (hashes) of the wanted sets, read again from one text each."""
     _ship()
     named = members.join(broadcast_checked(wanted), "sid")
     chosen = named.groupBy("sid", "tag").agg(F.min("doc_id").alias("_d"))
@@ -214,19 +220,18 @@ def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, size: int,
                 sets = [s for s in shingle_sets(data, offsets, powers, size) if len(s)]
                 names = np.array([_name(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)],
                     names=["sid", "tag", "n", "data"],
                 )
 
-    rows = texts.mapInArrow(run, "sid bigint, tag bigint, n bigint, data binary").join(broadcast_checked(wanted), "sid")
+    rows = texts.mapInArrow(run, "sid bigint, tag bigint, n bigint, data array<bigint>").join(broadcast_checked(wanted), "sid")
     return materialize(rows.dropDuplicates(["sid", "tag"]), "set-contents")
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` (of sids) whose sets are similar."""
-    _ship()
-    a = contents.select(F.col("sid").alias("u"), F.col("n").alias("n1"), F.col("data").alias("d1"))
-    b = contents.select(F.col("sid").alias("v"), F.col("n").alias("n2"), F.col("data").alias("d2"))
+    a = contents.select(F.col("sid").alias("u"), F.col("data").alias("d1"))
+    b = contents.select(F.col("sid").alias("v"), F.col("data").alias("d2"))
     sizes = contents.select("sid", "n")
     fitting = (  # sizes alone settle many pairs; they are narrow, the contents are not
         pairs.join(sizes.select(F.col("sid").alias("u"), F.col("n").alias("m1")), "u")
@@ -235,36 +240,29 @@ def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
         .select("u", "v")
         .distinct()
     )
-    both = materialize(fitting, "set-pairs").join(a, "u").join(b, "v").select("u", "v", "d1", "d2")
+    common = F.size(F.array_intersect("d1", "d2"))
+    similar = 100 * common >= percent * (F.size("d1") + F.size("d2") - common)
+    return materialize(fitting, "set-pairs").join(a, "u").join(b, "v").where(similar).select("u", "v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "u bigint, v bigint")
 
+def _refined(sids: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Second keys ``key, sid, kind`` of the sets in large buckets.
 
-def _refined(buckets: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Rows of large buckets under their second keys: ``key, sid, kind, comp``."""
+    Similar sets share a second key whatever their first bucket was, so each set is cut once.
+    """
     _ship()
-    sets = contents.select("sid", "data").join(broadcast_checked(buckets.select("sid").distinct()), "sid")
+    sets = contents.join(broadcast_checked(sids), "sid", "left_semi").select("sid", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = Schemes(percent)
         for batch in batches:
-            for sid, x in zip(batch.column(0), batch.column(1), strict=True):
-                s = np.frombuffer(x.as_py(), np.uint64)
+            for i in range(batch.num_rows):
+                s = np.sort(batch.column(1)[i].values.to_numpy().view(np.uint64))
                 key, kind = second_set_keys(s, plans)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), sid.as_py(), np.int64)), _long(key), pa.array(kind, pa.int8())], names=["sid", "second", "kind2"])
+                sid = pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([_long(key), sid, pa.array(kind, pa.int8())], names=["key", "sid", "kind"])
 
-    again = sets.mapInArrow(run, "sid bigint, second bigint, kind2 tinyint")
-    return buckets.join(again, "sid").select(F.xxhash64("key", "second").alias("key"), "sid", F.col("kind2").alias("kind"), "comp")
+    return sets.mapInArrow(run, "key bigint, sid bigint, kind tinyint")
 
 
 def second_set_keys(s: np.ndarray, plans: Schemes) -> tuple[np.ndarray, np.ndarray]:
@@ -299,17 +297,60 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(broadcast_checked(materialize(sizes, "set-sizes")), "key")
 
 
+def _pivots(rows: DataFrame) -> DataFrame:
+    """``key, u``: the member of a bucket that shares most with others, by the sizes of all its buckets."""
+    weight = rows.groupBy("sid").agg(F.sum("_n").alias("_w"))
+    return rows.join(weight, "sid").groupBy("key").agg(F.max(F.struct("_w", "sid"))["sid"].alias("u"))
+
+
 def _stars(rows: DataFrame) -> DataFrame:
-    """Each member of a bucket with its smallest content member."""
-    lead = rows.where("kind = 0").groupBy("key").agg(F.min("sid").alias("u"))
-    return rows.join(lead, "key").where("u <> sid").select(F.least("u", "sid").alias("u"), F.greatest("u", "sid").alias("v")).distinct()
+    """Each member of a bucket with the bucket's pivot."""
+    pivots = materialize(_pivots(rows), "set-pivots")
+    return rows.join(pivots, "key").where("u <> sid").select(F.least("u", "sid").alias("u"), F.greatest("u", "sid").alias("v")).distinct()
 
 
-def _cross(rows: DataFrame) -> DataFrame:
-    """Members of a bucket in different components, at least one with a content key."""
-    x = rows.select("key", F.col("sid").alias("u"), F.col("comp").alias("c1"), F.col("kind").alias("k1"))
-    y = rows.select("key", F.col("sid").alias("v"), F.col("comp").alias("c2"), F.col("kind").alias("k2"))
-    return x.join(y, "key").where("u < v AND c1 <> c2 AND k1 + k2 < 2").select("u", "v").distinct()
+def _blocks(rows: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between different components of the same pivot's buckets, compared block by block.
+
+    The members of all buckets with one pivot are one cluster. It is cut into blocks of about ``BUCKET`` sets, and a row
+    holds two blocks, so neither pairs nor a whole cluster are ever laid out; only links come back.
+    """
+    _ship()
+    pivots = materialize(_pivots(rows), "set-pivots")
+    members = materialize(rows.join(pivots, "key").select("u", "sid", "comp").distinct(), "set-clusters")
+    sizes = members.groupBy("u").agg(F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    count = F.ceil(F.col("_c") / F.lit(float(BUCKET))).cast("bigint")
+    placed = members.join(broadcast_checked(materialize(sizes.select("u", count.alias("_b")), "set-cluster-sizes")), "u")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("sid", "u"), F.col("_b")))
+    filled = placed.join(contents.select("sid", "data"), "sid")
+    blocks = materialize(filled.groupBy("u", "_b", "block").agg(F.collect_list(F.struct("sid", "comp", "data")).alias("sets")), "set-blocks")
+    left = blocks.select("u", F.explode(F.sequence(F.col("block"), F.col("_b") - 1)).alias("block"), F.col("sets").alias("one"))
+    both = left.join(blocks.select("u", "block", F.col("sets").alias("two")), ["u", "block"]).select("one", "two")
+
+    def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        row = column[i].values
+        data = row.field("data")
+        return row.field("sid").to_numpy(), row.field("comp").to_numpy(), [data[k].values.to_numpy().view(np.uint64) for k in range(len(data))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sid1, comp1, sets1 = unpack(batch.column(0), i)
+                sid2, comp2, sets2 = unpack(batch.column(1), i)
+                many = np.array([len(s) for s in sets2])
+                owner, flat = np.repeat(np.arange(len(sets2)), many), np.concatenate(sets2)
+                u, v = [], []
+                for a, c, s in zip(sid1, comp1, sets1, strict=True):
+                    s = np.sort(s)
+                    found = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+                    common = np.bincount(owner[found], minlength=len(sets2))
+                    near = np.flatnonzero((100 * common >= percent * (len(s) + many - common)) & (comp2 != c))
+                    u += [int(a)] * len(near)
+                    v += sid2[near].tolist()
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return both.mapInArrow(run, "u bigint, v bigint")
 
 
 def linked_sets(docs: DataFrame, members: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -320,17 +361,15 @@ def linked_sets(docs: DataFrame, members: DataFrame, size: int, percent: int, do
     rows = materialize(_index(docs, size, percent, text).join(keys, "key").distinct(), "set-buckets")
     contents = _contents(docs, materialize(rows.select("sid").distinct(), "set-wanted"), members, size, doc_id, text)
 
-    links = materialize(_verify(_stars(rows), contents, percent), "set-links")
+    stars = _stars(materialize(_open(rows.withColumn("comp", F.col("sid"))), "set-open"))
+    links = materialize(_verify(stars, contents, percent), "set-links")
     comps = components(links)
     still = materialize(_open(_with_comp(rows, comps)), "set-open")
-    few, many = still.where(F.col("_n") <= BUCKET).drop("_n"), still.where(F.col("_n") > BUCKET).drop("_n")
-    second = materialize(_refined(many.select("key", "sid", "comp").distinct(), contents, percent), "set-second")
-    more = _stars(_open(second)).union(_cross(few)).distinct()
-    links = materialize(links.union(_verify(more, contents, percent)), "set-links")
-    comps = components(links)
-    last = _cross(_open(_with_comp(second.drop("comp"), comps)))
-    links = materialize(links.union(_verify(last, contents, percent)), "set-links")
-    return components(links)
+    many = materialize(still.where(F.col("_n") > BUCKET).select("sid").distinct(), "set-many")
+    second = materialize(_open(_with_comp(_refined(many, contents, percent), comps)), "set-second")
+    columns = ["key", "sid", "comp", "_n"]
+    rest = still.where(F.col("_n") <= BUCKET).select(*columns).union(second.select(*columns))
+    return components(materialize(links.union(_blocks(rest, contents, percent)), "set-links"))
 
 
 def similar_groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
