@@ -38,6 +38,8 @@ from quire.session import ship_by_value
 SIZE = 4
 PERCENT = 85
 BUCKET = 64
+#: Elements of all sets of a block.
+BLOCK = 40_000
 #: Ratio of the first sizes of neighbouring bands, and segments per element of the budget.
 GROWTH = 1.5
 SLACK = 1.3
@@ -312,14 +314,15 @@ def _stars(rows: DataFrame) -> DataFrame:
 def _blocks(rows: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
     """Links ``u, v`` between different components of the same pivot's buckets, compared block by block.
 
-    The members of all buckets with one pivot are one cluster. It is cut into blocks of about ``BUCKET`` sets, and a row
+    The members of all buckets with one pivot are one cluster. It is cut into blocks of about ``BLOCK`` elements, and a row
     holds two blocks, so neither pairs nor a whole cluster are ever laid out; only links come back.
     """
     _ship()
     pivots = materialize(_pivots(rows), "set-pivots")
     members = materialize(rows.join(pivots, "key").select("u", "sid", "comp").distinct(), "set-clusters")
-    sizes = members.groupBy("u").agg(F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
-    count = F.ceil(F.col("_c") / F.lit(float(BUCKET))).cast("bigint")
+    weighed = members.join(contents.select("sid", "n"), "sid")
+    sizes = weighed.groupBy("u").agg(F.sum("n").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    count = F.ceil(F.col("_c") / F.lit(float(BLOCK))).cast("bigint")
     placed = members.join(broadcast_checked(materialize(sizes.select("u", count.alias("_b")), "set-cluster-sizes")), "u")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("sid", "u"), F.col("_b")))
     filled = placed.join(contents.select("sid", "data"), "sid")

@@ -50,6 +50,7 @@ def test_line_dedup_equals_plain_search(spark, monkeypatch, bucket):
 @pytest.mark.parametrize("size,percent,bucket", [(4, 85, 64), (5, 80, 64), (4, 85, 2), (2, 50, 3)])
 def test_jaccard_equals_plain_search(spark, monkeypatch, size, percent, bucket):
     monkeypatch.setattr(jaccard, "BUCKET", bucket)
+    monkeypatch.setattr(jaccard, "BLOCK", 40_000 if bucket > 2 else 150)
     rnd = random.Random(percent + bucket)
     word = lambda: f"w{rnd.randint(0, 3000)}"
     passage = [word() for _ in range(30)]
