@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs)
-    left = clean.where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
-    columns = [F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    clean = line_dedup.clean_rows(docs)
+    left = clean.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))).select("row.*")
+    columns = [F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
     return left.select(*columns)
 
 

@@ -217,8 +217,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return gone.groupBy("_d", "_ta", "_tb").agg(F.collect_set("_ln").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with the column ``text`` cleaned, and ``_lines`` and ``_removed``: lines with content before, and removed."""
+def clean_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row``: the row as a struct with its text cleaned, ``n_lines`` with content before, and ``n_removed`` of them."""
     gone = removed_lines(docs, doc_id, text)
     ta, tb = _two(F.col(text))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_d"), ta.alias("_ta"), tb.alias("_tb"))
@@ -234,19 +234,25 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     clean = F.when(F.col("_gone").isNull(), whole).otherwise(kept)
     n = F.size(F.filter(F.split(F.coalesce(whole, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
     return joined.select(
-        *[(clean if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns],
-        n.cast("bigint").alias("_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("_removed"),
+        F.struct(*[(clean if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns]).alias("row"),
+        n.cast("bigint").alias("n_lines"),
+        removed.cast("bigint").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows with the column ``text`` cleaned."""
+    return clean_rows(docs, doc_id, text).select("row.*")
+
+
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
     """Per document the lines with content, how many of them go, and the length and digest of what stays."""
-    return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
-        F.col("_lines").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_removed")).cast("bigint").alias("n_removed"),
-        F.length("text").cast("bigint").alias("n_chars_kept"),
-        F.sha2("text", 256).alias("kept_sha256"),
+    return clean_rows(docs.select("doc_id", "text")).select(
+        "row.doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("row.text").cast("bigint").alias("n_chars_kept"),
+        F.sha2("row.text", 256).alias("kept_sha256"),
     )
