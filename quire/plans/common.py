@@ -7,6 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.session import spread
 
 
+def registry():
+    """Queries and SQL of a module by name, and the decorator that adds a function to them."""
+    queries: dict = {}
+    oracles: dict[str, str] = {}
+
+    def query(name: str, oracle: str | None = None):
+        def add(fn):
+            queries[name] = fn
+            if oracle is not None:
+                oracles[name] = oracle
+            return fn
+
+        return add
+
+    return queries, oracles, query
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

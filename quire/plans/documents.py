@@ -10,21 +10,10 @@ from quire.functions.core import pin
 from quire.functions.markdown import fence_ranges, headings, morphology, passes_quality, table_ranges
 from quire.functions.splitting import recursive_split
 from quire.operators.chunking import child_chunks, parent_chunks, with_quality
-from quire.plans.common import MARKDOWN, markdown_docs, table
+from quire.plans.common import MARKDOWN, markdown_docs, registry, table
 from quire.session import spread
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 LINES = f"""

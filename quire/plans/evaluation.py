@@ -11,22 +11,11 @@ from quire.operators import observe as O
 from quire.operators import runs as R
 from quire.operators.ordered import cumulative, percentiles
 from quire.operators.reports import backend_stats
-from quire.plans.common import table
+from quire.plans.common import registry, table
 from quire.plans.retrieval import asked, embeddings, neighbours, neighbours_sql
 from quire.session import materialize
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 # Vectors as benchmark: a vector's ten nearest are its result, those of its own label are relevant with a grade from

@@ -11,24 +11,13 @@ from pyspark.sql import functions as F
 from quire.operators import fusion, observe
 from quire.operators import reports as R
 from quire.operators.search import bm25_topk, postings, query_terms
-from quire.plans.common import table
+from quire.plans.common import registry, table
 from quire.plans.evaluation import CALLS, _calls
 from quire.plans.retrieval import BOOSTS, MERGE_SQL, bench_queries, merge_inputs
 from quire.session import materialize, shared_dir, spread
 from quire.sources.store import ChunkStore, record_run
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query(

@@ -9,20 +9,9 @@ from quire.functions.text import rerank_text
 from quire.operators import models, observe
 from quire.operators.evaluation import SCORES
 from quire.operators.runs import delta_only
-from quire.plans.common import table
+from quire.plans.common import registry, table
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 REPLY = """CASE WHEN turn = 0 THEN 'sorry, no scores' WHEN role = 'user' THEN concat('{"faithfulness": 1.7, "answer_relevancy": "bad", "context_precision": 0.', conv_id % 10, '}')

@@ -12,22 +12,11 @@ from quire.operators import annotation as A
 from quire.operators import corpus as C
 from quire.operators import quality as Q
 from quire.operators.signatures import manifest, manifest_diff
-from quire.plans.common import MARKDOWN, markdown_docs, table
+from quire.plans.common import MARKDOWN, markdown_docs, registry, table
 from quire.plans.retrieval import DOT, embeddings, neighbours, neighbours_sql
 from quire.session import materialize, spread
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,26 +11,15 @@ from quire.operators import fusion
 from quire.operators.chunking import child_chunks, chunk_seq, parent_chunks, parent_key, with_quality
 from quire.operators.search import bm25_topk, dense_topk, postings, query_terms
 from quire.operators.signatures import corpus_signature
-from quire.plans.common import table
+from quire.plans.common import registry, table
 from quire.plans.documents import overlap_sql, split_sql
 from quire.session import materialize, spread
 
-QUERIES = {}
-ORACLES = {}
+QUERIES, ORACLES, query = registry()
 DIM = 16
 POOL = 40
 
 
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
-
-
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 

@@ -7,22 +7,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans.common import table
+from quire.plans.common import registry, table
 from quire.session import shared_dir
 from quire.streaming import jobs
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 WINDOWS_SQL = "SELECT CAST(epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_us, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
