@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.functions.core import pin
 from quire.operators import fusion
 from quire.operators.chunking import child_chunks, chunk_seq, parent_chunks, parent_key, with_quality
 from quire.operators.search import bm25_topk, dense_topk, postings, query_terms
