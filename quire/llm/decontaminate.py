@@ -76,12 +76,12 @@ def suffix_array(words: np.ndarray, deepest: int, largest: int) -> np.ndarray:
     depth = wide
     while depth < deepest:
         size = np.diff(np.append(np.flatnonzero(fresh), len(place)))
-        tied = np.flatnonzero((np.repeat(size, size) > 1) & (run[place] > depth))
+        tied = np.flatnonzero((np.repeat(size, size) > 1) & (run[place] >= depth))
         if not len(tied):
             break
         p = place[tied]
         group, nxt = rank[p], rank[p + depth]
-        # a tie whose run ends here sorts before the others of its group and keeps its place, it is never in ``tied``
+        # a run that ends here goes on with rank 0 and so comes first; shorter runs differ from all others already
         order = np.lexsort((nxt, group))
         place[tied] = p = p[order]
         group, nxt = group[order], nxt[order]

@@ -127,6 +127,30 @@ def test_decontaminate_equals_plain_search(spark, monkeypatch):
         assert kept == {d for d, t in docs if not hits(t, long_items)[1]}
 
 
+def test_suffixes_that_end_at_the_packed_width_come_first():
+    rnd = random.Random(7)
+    items = [(str(i), " ".join(f"v{rnd.randint(0, 1500)}" for _ in range(40))) for i in range(60)]
+    index = decontaminate.index_items(items)
+    assert 62 // len(index["vocabulary"]).bit_length() == 5 and len(index["vocabulary"]) > 1000
+    texts = []
+    for _, t in items:
+        w = t.split()
+        for _ in range(12):
+            a, n = rnd.randint(0, 25), rnd.choice([4, 5, 6, 9, 10, 11, 15])
+            texts.append(" ".join([*w[a : a + n], "other", *w[: rnd.choice([5, 10, 20])], "changed", *w[20:25]]))
+    rnd.shuffle(texts)
+    raw = [t.encode() for t in texts]
+    got = decontaminate.scan_shard(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), index)
+    for d, t in enumerate(texts):
+        _, hit, names = hits(t, items)
+        assert sum(b - a for a, b in got["spans"].get(d, [])) == hit
+        assert sorted(index["names"][k] for k in got["items"].get(d, ())) == sorted(names)
+    words = np.array([1, 2, 3, 4, 5, 6, 0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 6, 7, 0, 1, 2, 3, 4, 5, 0] + [0] * 12)
+    places = decontaminate.suffix_array(words, 10, 1033)
+    cut = [words[p : p + list(words[p:]).index(0)].tolist() for p in places]
+    assert cut == sorted(cut)
+
+
 def test_longest_matches_equal_plain_search(spark):
     rnd = random.Random(4)
     items = [(i, random_words(rnd, 15, "abc")) for i in range(4)]
