@@ -152,6 +152,32 @@ def test_quotes(spark):
     assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"], got[2, 0]["depth"]) == (1, 3, 0)
 
 
+def test_quotes_of_several_lines_from_the_middle(spark):
+    five = "first line of it\nsecond line of it\nok\nfourth line of it\nfifth line of it"
+    paragraphs = "one paragraph of\ntwo lines\n\nsecond paragraph here\n\nthird paragraph here"
+    rows = [
+        (1, 0, "u", five),
+        (1, 1, "a", "> second line of it\n> ok\nmiddle of five"),
+        (1, 2, "u", paragraphs),
+        (1, 3, "a", "> one paragraph of two\n> lines\n>\n> second paragraph here\ntwo of three"),
+        (1, 4, "u", "> first line of it\nanswer part one\nanswer part two\n> fifth line of it\nlast own words"),
+        (1, 5, "a", "> answer part one\n> answer part two\nto the inline answer"),
+        (1, 6, "u", "> fourth line of it\n> written by nobody\n>\n> fifth line of it\npartly known"),
+        (1, 7, "a", "> ok\n> nothing else known\ntoo short"),
+        (2, 0, "u", "> fourth line of it\n> fifth line of it\nelsewhere"),
+        (3, 0, "u", "a\nb\nc\nd\ne\nf\ng"),
+        (3, 1, "a", "> b\n> c\n> d\n> e\n> f\nshort lines"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = {
+        (1, 1): (1, 0, 1, "middle of five"), (1, 3): (1, 2, 1, "two of three"), (1, 5): (1, 4, 1, "to the inline answer"),
+        (1, 4): (1, 0, 2, "answer part one\nanswer part two\nlast own words"), (1, 6): (1, 0, 1, "> written by nobody\n> \npartly known"),
+        (1, 7): (None, None, 0, "> ok\n> nothing else known\ntoo short"), (2, 0): (1, 0, 1, "elsewhere"), (3, 1): (3, 0, 1, "short lines"),
+    }
+    assert {k: (got[k]["reply_conv"], got[k]["reply_turn"], got[k]["n_linked"], got[k]["text"]) for k in want} == want
+    assert got[1, 5]["depth"] == 2 and got[1, 5]["thread_turn"] == 0
+
+
 def test_long_reply_chain(spark):
     words = [f"message number {i} says {i * 7919 % 1000}" for i in range(70)]
     rows = [(1, i, "user", (f"> {words[i - 1]}\n" if i else "") + words[i]) for i in range(70)]
