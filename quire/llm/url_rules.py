@@ -1,12 +1,16 @@
 """URL verdicts: fixed rules first, else association rules mined from labelled URLs.
 
-A URL becomes at most ``SLOTS`` tokens (scheme, host, its last parts, first directory, depth, file ending, first query key,
-fragment, digits). FP-growth over the labelled URLs finds the token sets that occur often together with a bad label;
-a set is a rule if its confidence and its lift over the share of bad labels are high enough. Rules that contain a rule are
-pruned, as they can block nothing more. An inverted index from the rarest token of a rule to the rule decides the rest.
-
-The number of rules has a bound that does not grow with the data: a URL has at most ``2 ** SLOTS`` token sets and a set
-must occur in ``MIN_SUPPORT`` of the labelled URLs. So rules are collected and broadcast. Matching is row-local.
+A URL becomes a set of tokens: scheme, host and its last parts, first directory, depth, file ending, first query key and
+fragment; every part of the host, every path segment, every query key and every key with its value, wherever they
+stand; and the words in host and path. Token sets that occur often together with a bad label are mined level by
+level; a set is a rule if its confidence and its lift over the share of bad labels are high enough. An inverted index
+from the rarest token of a rule to the rule decides the rest.
+
+Minimum support and pruning bound the sets, not the number of tokens. A set grows only while it occurs with enough bad labels, is
+no rule itself (rules that contain a rule can block nothing more) and fits fewer URLs than each of its subsets. A set that
+fits the same URLs as a subset is a rule only if the subset is one, so this loses no minimal rule, and tokens that
+always come together do not multiply. The driver holds the sets of one level and the rules; URLs with the same frequent
+tokens are merged and stay in the tasks. Matching is row-local.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no fixed rule and has no tokens, so it is
 allowed; a host keeps its port and user part; of several fitting fixed rules the longest counts; repeated rows get the same
@@ -16,8 +20,10 @@ mining; without labels nothing is mined. Only ids and URLs are read from the pag
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +38,14 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-SLOTS = 10
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
+#: Merged URLs that one counting task reads at least; the tasks grow with these, not with the partitions.
+TASK_SETS = 5000
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 2.0
-BAD = "=bad"
+#: The floor of lift stays below this, or half way to 1 where more of the labels are bad, so that rules stay possible.
+MAX_FLOOR = 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,7 +71,7 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-#: The tokens of a URL in SQL that both engines read; u: url, host, path.
+#: The tokens with one place in a URL, in SQL that both engines read; u: url, host, path.
 TOKENS_SQL = (
     "concat('scheme=', lower(split_part(u, '://', 1)))",
     "concat('host=', host)",
@@ -78,45 +86,115 @@ TOKENS_SQL = (
 )
 
 
+def spread_tokens(u: Column, host: Column, path: Column) -> Column:
+    """The tokens that count wherever they stand: host parts, path segments, query keys and values, words."""
+
+    def named(name: str, parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(name + "="), x))
+
+    fields = F.split(F.regexp_extract(u, r"[?]([^#]*)", 1), "[&;]", -1)
+    words = F.regexp_extract_all(lower_ascii(F.concat(host, F.lit("/"), path)), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    return F.concat(
+        named("part", F.split(host, "[.@:]", -1)), named("seg", F.split(path, "/", -1)),
+        named("arg", F.transform(fields, lambda x: F.regexp_extract(x, "^[^=]*", 0))), named("val", F.filter(fields, lambda x: x.contains("="))),
+        named("word", words),
+    )
+
+
 def with_tokens(pages: DataFrame) -> DataFrame:
     """Add ``tokens`` (distinct; empty without a host) to rows with ``u``, ``host`` and ``path``."""
-    tokens = F.expr(f"array({', '.join(TOKENS_SQL)})")
+    tokens = F.concat(F.expr(f"array({', '.join(TOKENS_SQL)})"), spread_tokens(F.col("u"), F.col("host"), F.col("path")))
     return pages.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(tokens)))
 
 
+def confidence_floor(n: int, bad: int) -> float:
+    """The least confidence of a rule, below 1 while any label is good."""
+    share = bad / n
+    return max(MIN_CONFIDENCE, min(MIN_LIFT * share, max(MAX_FLOOR, (1 + share) / 2)))
+
+
 def mine(labelled: DataFrame) -> list[list[str]]:
     """Token sets that mark bad URLs, from rows with ``tokens`` and boolean ``bad``; minimal sets only."""
-    items = materialize(
-        labelled.where(F.size("tokens") > 0).select(
-            F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"), "bad"
-        ),
-        "url-items",
-    )
-    totals = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
+    ship_by_value(__name__)
+    rows = materialize(labelled.where(F.size("tokens") > 0).select("tokens", "bad"), "url-items")
+    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
     n, bad = totals["n"], totals["bad"]
     if bad < MIN_COUNT:
         return []
-    support = max(MIN_SUPPORT, (MIN_COUNT - 0.5) / n)
-    spark = labelled.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), numPartitions=parts).fit(items.select("items"))
-    sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
-    with_bad = sets.where(F.array_contains("items", BAD)).select(F.array_remove("items", F.lit(BAD)).alias("items"), F.col("freq").alias("both"))
-    floor = max(MIN_CONFIDENCE, MIN_LIFT * bad / n)
-    found = (
-        sets.join(with_bad.where(F.size("items") > 0), "items")
-        .where(F.col("both") >= F.lit(floor) * F.col("freq"))
-        .select("items")
-        .collect()  # at most 2 ** SLOTS / MIN_SUPPORT sets
-    )
-    kept: list[frozenset[str]] = []
-    by_token: dict[str, list[frozenset[str]]] = {}
-    for rule in sorted((frozenset(r["items"]) for r in found), key=lambda r: (len(r), sorted(r))):
-        if not any(old <= rule for t in rule for old in by_token.get(t, ())):
-            kept.append(rule)
-            for t in rule:
-                by_token.setdefault(t, []).append(rule)
-    return [sorted(r) for r in kept]
+    least = math.ceil(max(MIN_SUPPORT, (MIN_COUNT - 0.5) / n) * n)
+    floor = confidence_floor(n, bad)
+    counts = [F.count(F.lit(1)).alias("freq"), F.sum(F.col("bad").cast("long")).alias("both")]
+    single = rows.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(*counts).where(F.col("both") >= least).orderBy("freq", "t").collect()
+    names = [r["t"] for r in single]
+    level = {(i,): (r["freq"], r["both"]) for i, r in enumerate(single)}
+    known = rows.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "t string, i int")
+    coded = rows.withColumn("_r", F.monotonically_increasing_id()).select("_r", "bad", F.explode("tokens").alias("t")).join(F.broadcast(known), "t")
+    coded = coded.groupBy("_r", "bad").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    coded = materialize(coded.groupBy("items").agg(*counts), "url-sets")
+    coded = coded.coalesce(max(1, math.ceil(coded.count() / TASK_SETS)))  # each task sends a sum per set it holds
+    rules: list[tuple[int, ...]] = []
+    below = {(): n}
+    while level:
+        free = {}
+        for x, (freq, both) in level.items():
+            if both >= floor * freq:
+                rules.append(x)
+            elif freq < min(below[x[:i] + x[i + 1 :]] for i in range(len(x))):
+                free[x] = freq
+        below = free
+        level = {x: c for x, c in _count(coded, _candidates(free)).items() if c[1] >= least}
+    return [sorted(names[i] for i in x) for x in rules]
+
+
+def _candidates(free: dict[tuple[int, ...], int]) -> list[tuple[int, ...]]:
+    """Sets one larger whose subsets are all in ``free``."""
+    heads: dict[tuple[int, ...], list[int]] = {}
+    for x in sorted(free):
+        heads.setdefault(x[:-1], []).append(x[-1])
+    out = []
+    for head, tails in heads.items():
+        for k, a in enumerate(tails):
+            for b in tails[k + 1 :]:
+                x = (*head, a, b)
+                if all(x[:i] + x[i + 1 :] in free for i in range(len(head))):
+                    out.append(x)
+    return out
+
+
+def _count(coded: DataFrame, candidates: list[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
+    """How many URLs, and bad ones, hold each candidate; tasks send sums."""
+    if not candidates:
+        return {}
+    shared = coded.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree: dict = {}
+        for k, x in enumerate(shared.value):
+            at = tree
+            for i in x:
+                at = at.setdefault(i, {})
+            at[-1] = k
+        seen: dict[int, list[int]] = {}
+
+        def walk(at: dict, items: list[int], start: int, freq: int, both: int) -> None:
+            if -1 in at:
+                sums = seen.setdefault(at[-1], [0, 0])
+                sums[0] += freq
+                sums[1] += both
+                return
+            for j in range(start, len(items)):
+                if items[j] in at:
+                    walk(at[items[j]], items, j + 1, freq, both)
+
+        for batch in batches:
+            for items, freq, both in zip(batch["items"], batch["freq"], batch["both"], strict=True):
+                walk(tree, [int(i) for i in items], 0, int(freq), int(both))
+        yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["k", "freq", "both"]).astype("int64")
+
+    sums = coded.select("items", "freq", "both").mapInPandas(run, "k bigint, freq bigint, both bigint").groupBy("k").agg(F.sum("freq"), F.sum("both"))
+    found = {candidates[r[0]]: (r[1], r[2]) for r in sums.collect()}
+    shared.destroy()
+    return found
 
 
 def inverted(rules: list[list[str]]) -> dict[str, list[list[str]]]:

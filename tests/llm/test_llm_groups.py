@@ -133,6 +133,41 @@ def test_url_rules(spark):
     assert [got[240 + i]["verdict"] for i in range(5)] == ["block", "allow", "allow", "block", "allow"]
 
 
+def test_url_rules_on_later_segments_keys_and_words(spark):
+    bad = [f"https://h{i % 19}.net/en/{i}/blog/casino/{i}" for i in range(20)] + [f"https://h{i % 19}.net/en/{i}?id={i}&aff=x" for i in range(20)]
+    bad += [f"https://h{i % 19}.net/en/{i}/best-pills-{i}" for i in range(20)] + [f"https://h{i % 19}.net/en/{i}?sort=a&page={i}" for i in range(20)]
+    bad += [f"https://h{i % 19}.cheap-{i}.net/en/{i}" for i in range(20)]
+    good = [f"https://h{i % 19}.net/en/{1000 + i}{('', '/blog/news', '?id=1&ref=x', '/best-news', '?sort=b')[i % 5]}" for i in range(400)]
+    for known, free in ((good, 400), (good[:60], 60)):  # in the second more than half of the labels are bad
+        labelled = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in known], "url string, bad boolean")
+        pages = spark.createDataFrame(list(enumerate(bad + known)), "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, labelled).collect()}
+        assert [got[i] for i in range(100)] == ["block"] * 100 and sum(got[100 + i] == "allow" for i in range(free)) == free
+
+
+def test_url_rules_equal_all_sets(spark):
+    from itertools import combinations
+
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(300):
+        t = [x for x in "abcdefg" if rnd.random() < 0.45] + ["z"]
+        rows.append((t + (["a2"] if "a" in t else []), {"a", "c"} <= set(t) or rnd.random() < 0.15))
+    n, nbad = len(rows), sum(b for _, b in rows)
+    count = {}
+    for t, b in rows:
+        for k in range(1, len(t) + 1):
+            for x in combinations(sorted(t), k):
+                c = count.setdefault(frozenset(x), [0, 0])
+                c[0] += 1
+                c[1] += b
+    floor = url_rules.confidence_floor(n, nbad)
+    ok = {x for x, (f, b) in count.items() if b >= 5 and b >= floor * f}
+    want = {x for x in ok if not any(y < x for y in ok)}
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert want and len(got) == len(want) and set(map(frozenset, got)) == want
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Hello there my friend\nHow are you doing today?"),
