@@ -8,8 +8,9 @@ once. The interval at depth ten gives all places of a window, the depth where it
 Documents with a window are marked or removed in the same pass: no shuffle, no pair list, and a lost executor repeats
 only its own shards.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, each a further pass over the rows that remain, so
-its size is bounded whatever the number of items. Words are compared by 64-bit hash and length.
+The benchmark is broadcast in blocks of about ``BLOCK_BYTES`` of text, each a further pass over the rows that remain. A pass
+before the last is written, and its block dropped before the next is collected, so the driver and the executors hold one
+block whatever the number of items. Words are compared by 64-bit hash and length.
 
 Defined cases: words are maximal runs of ``[0-9a-z]`` and characters from U+0080 after lower-casing A to Z; a null or
 empty text has none and is never contaminated; items without words are ignored, an item of fewer than ten words is one
@@ -23,9 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import materialize
 from quire.llm.words import cut_words, shards
 from quire.session import ship_by_value
 
@@ -187,12 +190,13 @@ def scan_shard(data: np.ndarray, offsets: np.ndarray, index: dict, longest: bool
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[list[tuple[str, str]]]:
-    """The items as (id, text) in blocks of bounded size; only the blocks' count depends on the benchmark's size."""
+def benchmark_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items as (id, text) in blocks of bounded size, each with whether it is the last; one is collected at a time."""
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("_i"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.octet_length("_t")), F.lit(0)).alias("b")).first()["b"]
     n = -(-int(total) // BLOCK_BYTES) if total else 0
-    return [[(r["_i"], r["_t"]) for r in rows.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["_i"], r["_t"]) for r in rows.where(F.pmod(F.xxhash64("_i", "_t"), F.lit(n)) == k).collect()], k == n - 1
 
 
 def _ship() -> None:
@@ -200,9 +204,18 @@ def _ship() -> None:
     ship_by_value("quire.llm.words")
 
 
-def _broadcasts(docs: DataFrame, benchmark: DataFrame) -> list:
+def _broadcasts(docs: DataFrame, benchmark: DataFrame, empty: bool = False) -> Iterator[tuple[Broadcast, bool]]:
+    """The index of each block and whether it is the last; others are destroyed on the next turn, so their pass must be
+    written by then. With ``empty`` a benchmark without texts gives one empty index."""
     context = docs.sparkSession.sparkContext
-    return [context.broadcast(index_items(block)) for block in benchmark_blocks(benchmark)]
+    last = False
+    for block, last in benchmark_blocks(benchmark):
+        shared = context.broadcast(index_items(block))
+        yield shared, last
+        if not last:
+            shared.destroy()
+    if empty and not last:
+        yield context.broadcast(index_items([])), True
 
 
 def _merge(old: list[int], new: list[tuple[int, int]]) -> list[int]:
@@ -224,8 +237,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
         F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"),
     )
-    blocks = _broadcasts(docs, benchmark) or [docs.sparkSession.sparkContext.broadcast(index_items([]))]
-    for shared in blocks:
+    for shared, last in _broadcasts(docs, benchmark, empty=True):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -246,6 +258,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                 )
 
         state = state.mapInArrow(run, f"_doc {id_type}, _text string, n_words bigint, hits array<bigint>, items array<string>")
+        if not last:
+            state = materialize(state, "decontaminated")
     return state.select(F.col("_doc").alias("doc_id"), "n_words", "hits", "items")
 
 
@@ -254,7 +268,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     _ship()
     inner = docs.select(F.col(f"`{text}`").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     schema = inner.schema
-    for shared in _broadcasts(docs, benchmark):
+    for shared, last in _broadcasts(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -266,6 +280,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
                 yield batch.filter(pa.array(keep))
 
         inner = inner.mapInArrow(run, schema)
+        if not last:
+            inner = materialize(inner, "decontaminated")
     return inner.select("_row.*")
 
 
@@ -279,7 +295,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     id_type = docs.schema[doc_id].dataType.simpleString()
     narrow = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     parts = []
-    for shared in _broadcasts(docs, benchmark):
+    for shared, last in _broadcasts(docs, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -298,7 +314,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
                         names=["item_id", "offset", "n_words", "doc_id", "position"],
                     )
 
-        parts.append(narrow.mapInArrow(run, f"item_id string, offset bigint, n_words bigint, doc_id {id_type}, position bigint"))
+        part = narrow.mapInArrow(run, f"item_id string, offset bigint, n_words bigint, doc_id {id_type}, position bigint")
+        parts.append(part if last else materialize(part, "longest-matches"))
     if not parts:
         return narrow.where("false").selectExpr("'' AS item_id", "0L AS offset", "0L AS n_words", "_doc AS doc_id", "0L AS position")
     rows = parts[0]

@@ -151,6 +151,29 @@ def test_suffixes_that_end_at_the_packed_width_come_first():
     assert cut == sorted(cut)
 
 
+def test_one_block_of_the_benchmark_is_alive(spark, monkeypatch):
+    from pyspark import Broadcast, SparkContext
+
+    alive, most, made = set(), [], []
+    make, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def counted(self, value):
+        out = make(self, value)
+        made.append(out)
+        alive.add(id(out))
+        most.append(len(alive))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", counted)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (alive.discard(id(self)), destroy(self, *a))[1])
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(8)]
+    docs = spark.createDataFrame([(i, t if i % 2 else f"clean text {i}") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.op2_decontaminate(docs, bench).where("contaminated").collect()) == [1, 3, 5, 7]
+    assert max(most) == 1 and len(made) > 2
+
+
 def test_longest_matches_equal_plain_search(spark):
     rnd = random.Random(4)
     items = [(i, random_words(rnd, 15, "abc")) for i in range(4)]
