@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, jaccard, line_dedup, mil, pii, quality_rules, quotes, sharding, url_rules
+from quire.llm import bpe, decontaminate, jaccard, line_dedup, merkle, mil, pii, quality_rules, quotes, sharding, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -69,3 +69,8 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.op1_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query(merkle.ORACLE)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op13_merkle(table(spark, sf_dir, "documents"))
