@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, jaccard, line_dedup, merkle, mil, pii, quality_rules, quotes, sharding, url_rules
+from quire.llm import bpe, decontaminate, jaccard, line_dedup, merkle, mil, pii, quality_rules, quotes, sharding, spelling, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,8 @@ def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(merkle.ORACLE)
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op13_merkle(table(spark, sf_dir, "documents"))
+
+
+@query(spelling.ORACLE)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.op12_spelling(table(spark, sf_dir, "documents"))
