@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_checked, materialize
+from quire.llm.common import broadcast_checked, materialize, placed
 
 FANOUT = 8
 #: Levels of a block: a window holds ``fanout ** BLOCK_LEVELS`` rows at most.
@@ -47,20 +47,6 @@ def leaf_of(fields: list[Column]) -> Column:
     return digest(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
 
 
-def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Add ``at`` (place from 0 in the order) and ``n`` (rows) within ``group``; the rows are a written table."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(rows.repartitionByRange(parts, group, *order).withColumn("_range", F.spark_partition_id()), "merkle-ranges")
-    counts = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_c"))
-    whole = Window.partitionBy(group)  # one row per range that meets the group
-    offsets = counts.select(
-        group, "_range", (F.sum("_c").over(whole.orderBy("_range")) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("n")
-    )
-    inside = Window.partitionBy(group, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_k", F.row_number().over(inside) - 1).join(broadcast_checked(materialize(offsets, "merkle-offsets")), [group, "_range"])
-    return numbered.withColumn("at", F.col("_k") + F.col("_before")).drop("_k", "_before", "_range")
-
-
 def siblings(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Add ``left`` and ``right`` (the siblings' digests) and, on a run's first row, ``parent`` to ``g, at, n, node``."""
     block = Window.partitionBy("g", "_block").orderBy("at")

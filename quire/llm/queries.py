@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, jaccard, line_dedup, merkle, mil, pii, quality_rules, quotes, sharding, spelling, url_rules
+from quire.llm import bpe, decontaminate, jaccard, line_dedup, merkle, mil, packing, pii, quality_rules, quotes, sharding, spelling, url_rules
 from quire.llm.common import table
 
 QUERIES = {}
@@ -79,3 +79,8 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(spelling.ORACLE)
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op12_spelling(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op11_packing(table(spark, sf_dir, "documents"))
