@@ -9,63 +9,125 @@ choice), and every piece takes its place by its rank among the pieces of its len
 the capacity, whatever the number of documents. Ranks come from ranges that are numbered apart, in the order of id, piece and
 checksum, so the packing does not hang on files or partitions, and a frequent length is spread over the tasks.
 
-Tokens come from the ``tokenizers`` library. A text is cut at single spaces between two characters that are no white space, which
-are borders of byte-level pieces in any text; equal chunks of a batch are encoded once and remembered.
+Ids are those of the ``tokenizers`` library. A text is cut at single spaces between two characters that are no white space, which
+are borders of byte-level pieces in any text; equal chunks are encoded once and remembered. If a rank file of the same vocabulary
+is given, chunks of ASCII and Latin letters go to ``tiktoken``, which has the same ids for a third of the time; the rest, and
+without ranks all, goes to ``tokenizers``.
 
-Defined cases: a null or empty text is the end token alone; texts of any length are encoded whole; a document longer than the
+Defined cases: a null or empty text is the end token alone; the string of a special token in a text is ordinary text; texts of any length are encoded whole; a document longer than the
 capacity is cut, full pieces last, so its first piece may be shorter; rows with equal ids are packed each; an empty table gives no
 rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import read_ranks
 from quire.llm.common import materialize, placed
+from quire.llm.words import shards
 from quire.session import ship_by_value
 
 CAPACITY = 1024
 END = 2
-#: Chunks that a worker remembers at least, at most twice as many, and the longest that it does.
-MEMO = 200_000
+#: Chunks that a worker remembers, and the longest that it does.
+MEMO = 1_000_000
 MEMO_CHARS = 64
+#: Bytes of the texts that are encoded together, one text at least.
+SHARD = 16_000_000
+#: All white space but the space, and the spaces at which a text with other white space next to some may be cut.
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks of ASCII and Latin letters, on which every version of the character tables agrees.
+_PLAIN = re.compile(r"[!-~\n\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _RANK_BITS = 48
 
 
 class Chunks:
-    """Token ids of texts, packed as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.new, self.old = tokenizer, {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text; chunks that are not known yet go to the tokenizer together."""
-        cut = [self._cut(t) for t in texts]
-        known = {}
-        for chunks in cut:
-            for chunk in set(chunks):
-                if chunk not in known:
-                    known[chunk] = self.new.get(chunk) or self.old.get(chunk)
-        missing = [c for c, ids in known.items() if ids is None]
-        for chunk, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, "<u4").tobytes()
-        if len(self.new) > MEMO:
-            self.new, self.old = {}, self.new
-        self.new.update((c, ids) for c, ids in known.items() if len(c) <= MEMO_CHARS)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        first, *rest = _BORDER.split(text)
-        return ([first] if first else []) + [" " + x for x in rest]
+    """Token ids of text columns. Chunks are kept without the space before them, their ids packed as little-endian 32 bits."""
+
+    def __init__(self, tokenizer, ranks=None):
+        self.tokenizer, self.ranks, self.chunks = tokenizer, ranks, {}
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The ids of every text."""
+        texts = column.to_pylist()
+        odd = {i: _BORDER.split(t) for i, t in enumerate(texts) if is_odd(t)}
+        if odd:
+            column = pa.array([t if i not in odd else "" for i, t in enumerate(texts)], column.type)
+        parts = pc.split_pattern(column, " ")
+        counts, words = np.diff(parts.offsets.to_numpy()), parts.flatten()
+        if odd:
+            rows = [odd.get(i) for i in range(len(texts))]
+            sizes = np.array([c if r is None else len(r) for r, c in zip(rows, counts.tolist(), strict=True)], np.int64)
+            place = np.cumsum(counts) - counts
+            words = pa.concat_arrays([words[p : p + c] if r is None else pa.array(r, words.type) for r, p, c in zip(rows, place.tolist(), counts.tolist(), strict=True)])
+            counts = sizes
+        coded = words.dictionary_encode()
+        codes, unique = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        first = np.cumsum(counts) - counts  # a text's first chunk has no space before it
+        heads = [unique[c] for c in codes[first].tolist()]
+        codes[first] = len(unique) + np.arange(len(heads))
+        ids = self.known(unique, heads).__getitem__
+        codes, ends = codes.tolist(), np.cumsum(counts).tolist()
+        return [b"".join(map(ids, codes[end - n : end])) for n, end in zip(counts.tolist(), ends, strict=True)]
+
+    def known(self, unique: list[str], heads: list[str]) -> list[bytes]:
+        """The ids of chunks and of heads."""
+        memo = self.chunks
+        fresh = [c for c in unique if c not in memo]
+        rest = fresh
+        if self.ranks is not None:
+            plain, rest, encode = _PLAIN.fullmatch, [], self.ranks.encode_ordinary
+            for c in fresh:
+                if plain(c):
+                    memo[c] = pack_ids(encode(" " + c))
+                else:
+                    rest.append(c)
+        memo.update(zip(rest, self.by_tokenizer([" " + c for c in rest]), strict=True))
+        out = [*map(memo.__getitem__, unique), *self.by_tokenizer(heads)]
+        for long in [c for c in fresh if len(c) > MEMO_CHARS]:
+            del memo[long]
+        if len(memo) > MEMO:  # the older half goes; frequent chunks soon come back
+            self.chunks = dict(islice(memo.items(), len(memo) // 2, None))
+        return out
+
+    def by_tokenizer(self, texts: list[str]) -> list[bytes]:
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def chunks_of(described: str, ranks: dict[bytes, int] | None, pattern: str) -> Chunks:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+    return Chunks(Tokenizer.from_str(described), fast)
+
+
+def is_odd(text: str) -> bool:
+    """True if white space stands next to a space, or a space at an end: not all spaces are borders."""
+    return "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (c + " " in text or " " + c in text) for c in _SPACES)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder != "little":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def lengths_of(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -74,24 +136,26 @@ def lengths_of(n: int, capacity: int = CAPACITY) -> list[int]:
     return [first] + [capacity] * ((n - first) // capacity)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` (on request ``ids``) of all pieces; the path is read on the driver only."""
-    ship_by_value(__name__)
+def pieces_of(
+    docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text",
+    ranks_path: str | None = None, pattern: str = "",
+) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` (on request ``ids``) of all pieces; paths are read on the driver only."""
+    for module in (__name__, "quire.llm.words"):
+        ship_by_value(module)
     with open(path, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast({"json": file.read()})
+        shared = docs.sparkSession.sparkContext.broadcast({"json": file.read(), "ranks": read_ranks(ranks_path) if ranks_path else None})
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
         held = shared.value  # a worker keeps its chunks for the next task
-        chunks = held.setdefault("chunks", None) or Chunks(Tokenizer.from_str(held["json"]))
-        held["chunks"] = chunks
+        if "chunks" not in held:
+            held["chunks"] = chunks_of(held["json"], held["ranks"], pattern)
+        chunks = held["chunks"]
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                texts = [t or "" for t in batch.column(1)[a : a + 128].to_pylist()]
+            for a, b, _, _ in shards(batch.column(1), SHARD):
                 owner, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, packed in enumerate(chunks.encode(texts)):
+                for i, packed in enumerate(chunks.encode(batch.column(1)[a:b].fill_null(""))):
                     packed += tail
                     at = 0
                     for k, n in enumerate(lengths_of(len(packed) // 4, capacity)):
@@ -219,4 +283,6 @@ def op11_packing(docs: DataFrame) -> DataFrame:
     """Pieces of all documents with their places in sequences of 1,024 tokens."""
     import public_tokenizers
 
-    return pack(materialize(pieces_of(docs, public_tokenizers.path("byte_bpe_50k.json")), "packing-pieces"))
+    path = public_tokenizers.path
+    pieces = pieces_of(docs, path("byte_bpe_50k.json"), ranks_path=path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+    return pack(materialize(pieces, "packing-pieces"))
