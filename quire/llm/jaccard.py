@@ -248,12 +248,13 @@ def _verify(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
 
 
 def _refined(sids: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """Second keys ``key, sid, kind`` of the sets in large buckets.
+    """Second keys ``key, sid, kind, comp`` of the sets ``sid, comp`` in large buckets.
 
-    Similar sets share a second key whatever their first bucket was, so each set is cut once.
+    Similar sets share a second key whatever their first bucket was, so each set is cut once. A set brings its component along,
+    so its many keys need no join.
     """
     _ship()
-    sets = contents.join(broadcast_checked(sids), "sid", "left_semi").select("sid", "data")
+    sets = contents.join(broadcast_checked(sids), "sid").select("sid", "data", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans = Schemes(percent)
@@ -261,10 +262,10 @@ def _refined(sids: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
             for i in range(batch.num_rows):
                 s = np.sort(batch.column(1)[i].values.to_numpy().view(np.uint64))
                 key, kind = second_set_keys(s, plans)
-                sid = pa.array(np.full(len(key), batch.column(0)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([_long(key), sid, pa.array(kind, pa.int8())], names=["key", "sid", "kind"])
+                sid, comp = (pa.array(np.full(len(key), batch.column(j)[i].as_py(), np.int64)) for j in (0, 2))
+                yield pa.RecordBatch.from_arrays([_long(key), sid, pa.array(kind, pa.int8()), comp], names=["key", "sid", "kind", "comp"])
 
-    return sets.mapInArrow(run, "key bigint, sid bigint, kind tinyint")
+    return sets.mapInArrow(run, "key bigint, sid bigint, kind tinyint, comp bigint")
 
 
 def second_set_keys(s: np.ndarray, plans: Schemes) -> tuple[np.ndarray, np.ndarray]:
@@ -368,8 +369,8 @@ def linked_sets(docs: DataFrame, members: DataFrame, size: int, percent: int, do
     links = materialize(_verify(stars, contents, percent), "set-links")
     comps = components(links)
     still = materialize(_open(_with_comp(rows, comps)), "set-open")
-    many = materialize(still.where(F.col("_n") > BUCKET).select("sid").distinct(), "set-many")
-    second = materialize(_open(_with_comp(_refined(many, contents, percent), comps)), "set-second")
+    many = materialize(still.where(F.col("_n") > BUCKET).select("sid", "comp").distinct(), "set-many")
+    second = materialize(_open(_refined(many, contents, percent)), "set-second")
     columns = ["key", "sid", "comp", "_n"]
     rest = still.where(F.col("_n") <= BUCKET).select(*columns).union(second.select(*columns))
     return components(materialize(links.union(_blocks(rest, contents, percent)), "set-links"))
