@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.ordered import cumulative
 from quire.plans.common import registry, table
-from quire.session import shared_dir
-from quire.streaming import jobs
+from quire.session import materialize, shared_dir
+from quire.sources.store import ChunkStore
+from quire.streaming import breaker, jobs
 
 QUERIES, ORACLES, query = registry()
 
@@ -37,8 +40,6 @@ def events_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     WINDOWS_SQL.replace("FROM events", "FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"),
 )
 def events_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     root = f"{shared_dir(spark)}/panel-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     stream = (
@@ -71,3 +72,67 @@ def ttl_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.when(F.col("event_type") == "signup", "suspending").otherwise("indexed").alias("status"), F.col("ts").cast("timestamp").alias("at")
     )
     return jobs.suspended_too_long(states, dt.datetime(2024, 1, 15, 12, tzinfo=dt.timezone.utc)).select("event_id")
+
+
+BREAKER_PARTS = 3
+
+
+@query(
+    "circuit_breaker_stream",
+    """WITH o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, value >= 40 AS ok FROM events),
+    r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY user_id ORDER BY seq) AS island FROM o),
+    f AS (SELECT user_id, seq, row_number() OVER (PARTITION BY user_id, island ORDER BY seq) AS run FROM r WHERE NOT ok)
+    SELECT user_id AS backend, min(seq) AS opened_at FROM f WHERE run >= 3 GROUP BY user_id""",
+)
+def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempt at which each user's breaker opened first, by a stream that is stopped and started again between parts."""
+    root = f"{shared_dir(spark)}/breaker-{uuid.uuid4().hex}"
+    counts = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts", F.lit(1).alias("c"))
+    outcomes = materialize(
+        cumulative(counts, ["user_id"], "event_id", "c").select(
+            F.col("user_id").alias("backend"), F.col("cum").alias("seq"), (F.col("value") >= 40).alias("ok"), F.lit("").alias("category"), F.col("ts").cast("timestamp").alias("ts")
+        ),
+        "outcomes",
+    )
+    most = outcomes.agg(F.max("seq")).first()[0] or 0
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", breaker.ROCKS)
+    try:
+        for part in range(BREAKER_PARTS):
+            low, high = most * part // BREAKER_PARTS, most * (part + 1) // BREAKER_PARTS
+            outcomes.where((F.col("seq") > low - 2) & (F.col("seq") <= high)).write.mode("append").parquet(f"{root}/in")  # two rows come again
+            stream = spark.readStream.schema(outcomes.schema).parquet(f"{root}/in")
+            breaker.start_breaker(stream, f"{root}/out", f"{root}/checkpoint", late="3650 days").awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    changes = spark.read.schema(breaker.CHANGES.format("bigint")).parquet(f"{root}/out")
+    return changes.where("state = 'open'").groupBy("backend").agg(F.min("seq").alias("opened_at"))
+
+
+@query(
+    "stream_ingest",
+    """SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS n_chars, 1 AS parents, 1 AS children FROM documents""",
+)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ingested as micro-batches; then all batches come again, changed, from a source without a checkpoint."""
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs.repartitionByRange(3, "doc_id").write.parquet(f"{root}/in")
+    store = ChunkStore(spark, f"{root}/store")
+
+    def chunks(suffix: str):
+        def chunk(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+            content = F.concat("text", F.lit(suffix)).alias("content")
+            parents = rows.select(F.col("doc_id").alias("chunk_id"), "doc_id", content)
+            return parents, rows.select(F.concat("doc_id", F.lit(":c0")).alias("chunk_id"), "doc_id", F.col("doc_id").alias("parent_id"), content)
+
+        return chunk
+
+    for n, suffix in enumerate(("", "!")):
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        jobs.start_ingest(stream, store, f"{root}/checkpoint-{n}", chunks(suffix)).awaitTermination()
+    parents = store.parents().groupBy("doc_id").agg(F.sum(F.length("content")).alias("n_chars"), F.count(F.lit(1)).alias("parents"))
+    return parents.join(store.children().groupBy("doc_id").agg(F.count(F.lit(1)).alias("children")), "doc_id")

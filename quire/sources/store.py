@@ -53,6 +53,22 @@ class ChunkStore:
         last = F.max(F.struct("at", "step", "status")).alias("s")
         return self.log().groupBy("doc_id", "batch").agg(last).select("doc_id", "batch", "s.status", "s.at")
 
+    def committed(self, batch: str) -> bool:
+        """True if ``ingest_once`` has finished with this batch id."""
+        return self._exists(f"done/batch={batch}/_SUCCESS")
+
+    def ingest_once(self, parents: DataFrame, children: DataFrame, batch: str, at: dt.datetime | None = None) -> bool:
+        """``ingest`` for batches that may come again: a batch id that was committed changes nothing, whatever it brings.
+
+        The commit is the last write. What broke off before it is written again whole, under the same batch id, and the log
+        takes the later entries.
+        """
+        if self.committed(batch):
+            return False
+        wrote = self.ingest(parents, children, batch, at)
+        self.spark.createDataFrame([(wrote,)], "wrote boolean").coalesce(1).write.mode("overwrite").json(self._path(f"done/batch={batch}"))
+        return wrote
+
     def ingest(self, parents: DataFrame, children: DataFrame, batch: str, at: dt.datetime | None = None) -> bool:
         """Write one batch of documents; earlier versions of the same documents give way. No parents, no change.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,12 +47,16 @@ def start_panel(stream: DataFrame, out: str, checkpoint: str, **options) -> Stre
     )
 
 
-def start_ingest(docs: DataFrame, store: ChunkStore, checkpoint: str) -> StreamingQuery:
-    """Chunk arriving documents into the store. A repeated micro-batch writes the same batch id again."""
+def start_ingest(docs: DataFrame, store: ChunkStore, checkpoint: str, chunk: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = ingest) -> StreamingQuery:
+    """Chunk arriving documents into the store, each micro-batch once.
+
+    A micro-batch that comes again after a failure has the same number; if it was committed before, it changes nothing.
+    """
 
     def commit(batch: DataFrame, number: int) -> None:
-        parents, children = ingest(batch)
-        store.ingest(parents, children, f"stream-{number}")
+        name = f"stream-{number}"
+        if not store.committed(name):
+            store.ingest_once(*chunk(batch), name)
 
     return (
         docs.writeStream.foreachBatch(commit)
