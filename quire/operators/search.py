@@ -76,6 +76,15 @@ def _vector_slices(queries: DataFrame, query_id: str, vector: str) -> Iterator[l
         yield queries.where(key == i).select(query_id, vector).collect()
 
 
+def _by_score(row_id: str):
+    return Window.partitionBy("_q").orderBy(F.desc("score"), F.asc(row_id))
+
+
+def _cut(found: DataFrame, row_id: str, k: int, rank: str = "") -> DataFrame:
+    cut = found.withColumn("_rank", F.row_number().over(_by_score(row_id))).where(F.col("_rank") <= k)
+    return cut.withColumnRenamed("_rank", rank) if rank else cut.drop("_rank")
+
+
 def dense_topk(
     rows: DataFrame,
     queries: DataFrame,
@@ -84,8 +93,13 @@ def dense_topk(
     row_vector: str = "vector",
     query_id: str = "query_id",
     query_vector: str = "query_vector",
+    write_blocks: bool = False,
 ) -> DataFrame:
-    """Exact inner-product top-k: query_id, row_id, score (6 decimals), rank. Ties go to the smaller id."""
+    """Exact inner-product top-k: query_id, row_id, score (6 decimals), rank. Ties go to the smaller id.
+
+    With ``write_blocks`` the result of each block of queries is written before the next block is read, so that of many queries
+    no more than a block is held anywhere.
+    """
     id_type = rows.schema[row_id].dataType
     qid_type = queries.schema[query_id].dataType
     schema = T.StructType(
@@ -125,13 +139,14 @@ def dense_topk(
                 )
 
         piece = corpus.mapInArrow(scan, schema)
+        if write_blocks:
+            piece = materialize(_cut(piece, row_id, k), "topk-block")
+            shared.destroy()
         found = piece if found is None else found.unionByName(piece)
     if found is None:
         found = rows.sparkSession.createDataFrame([], schema)
-    order = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc(row_id))
     return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
+        (found.withColumn("rank", F.row_number().over(_by_score(row_id))) if write_blocks else _cut(found, row_id, k, "rank"))
         .select(F.col("_q").alias(query_id), row_id, "score", "rank")
     )
 

@@ -40,7 +40,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
         left = F.col(f"g{g}") - (F.col("grade") == g).cast("int")
         return F.array_repeat(F.lit(g), F.least(F.lit(5), left).cast("int"))
 
-    totals = asked(spark, sf_dir, e).join(per_label, "label").join(per_file, "file").select(
+    totals = asked(e).join(per_label, "label").join(per_file, "file").select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("c"), F.col("label")).alias("category"),
         F.when(F.col("label") < 5, "single_chunk").otherwise("multi_chunk").alias("difficulty"),

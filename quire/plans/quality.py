@@ -13,6 +13,7 @@ from quire.operators import corpus as C
 from quire.operators import quality as Q
 from quire.operators.signatures import manifest, manifest_diff
 from quire.plans.common import MARKDOWN, markdown_docs, registry, table
+from quire.operators.search import dense_topk
 from quire.plans.retrieval import DOT, embeddings, neighbours, neighbours_sql
 from quire.session import materialize, spread
 
@@ -381,15 +382,16 @@ def delete_and_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "topic_distance",
-    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2),
+    f"""WITH d AS (SELECT label, vec_id, 1 - max(s) AS dist FROM (SELECT a.label, a.vec_id, {DOT.format(a='a.embedding', b='b.embedding')} AS s FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id) GROUP BY 1, 2),
     r AS (SELECT round(dist, 6) AS v, row_number() OVER (ORDER BY round(dist, 6)) - 1 AS i, count(*) OVER () AS n FROM d)
     SELECT any_value(n) AS n, max(CASE WHEN i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT)) THEN v END) AS p5, max(CASE WHEN i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) THEN v END) AS p50, max(CASE WHEN i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) THEN v END) AS p95 FROM r""",
 )
 def topic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every asking vector to its nearest other vector, and nearest-rank percentiles of it."""
+    """Distance of every vector to its nearest other vector, and nearest-rank percentiles of it."""
     from quire.operators.ordered import percentiles
 
-    near = materialize(
-        neighbours(spark, sf_dir, 1).select(F.lit(0).alias("g"), F.round(1 - F.col("score"), 6).alias("dist")), "distances"
-    )
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    asks = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    hits = dense_topk(e, asks, 2, "vec_id", "embedding", write_blocks=True).where("vec_id <> query_id")  # one of two is another one
+    near = materialize(hits.groupBy("query_id").agg(F.round(1 - F.max("score"), 6).alias("dist")).select(F.lit(0).alias("g"), "dist"), "distances")
     return percentiles(near, ["g"], "dist", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, "nearest").drop("g")
