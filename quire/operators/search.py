@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.functions.core import built, pin
 from quire.functions.text import term_counts, tokens
+from quire.operators.ordered import row_numbers
 from quire.session import materialize, ship_by_value
 from quire.settings import DEFAULTS, Settings
 
@@ -213,22 +214,29 @@ def bm25_scores(
 
 
 def _unmatched(index: DataFrame, scores: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """For each query its k documents with the smallest ids among those that share no term with it, with score 0.
+    """For each query its documents with the smallest ids among those that share no term with it (k, or all), with score 0.
 
-    A query can only miss rows of the list if few ids of a prefix of all ids are left over, so the prefix is doubled
-    until each query has k of them or all documents are in it.
+    Ids are numbered and cut into ranges. Counts of matches per query and range say where documents are left over; only ranges
+    that hold one of the first k are looked at, which are k + 1 at most per query, and a range has a fixed number of ids.
     """
-    known = index.where("term = ''").select("doc_id")
-    size = 2 * k
-    while True:
-        ids = [r[0] for r in known.orderBy("doc_id").limit(size).collect()]
-        fill = wanted.select("query_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("doc_id"), F.lit(0.0).alias("score"))
-        rest = fill.join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-        matched_here = scores.join(F.broadcast(fill.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("query_id").count()
-        fullest = matched_here.agg(F.max("count")).first()[0] or 0
-        if len(ids) < size or size - fullest >= k:
-            return rest
-        size *= 2
+    known = row_numbers(index.where("term = ''").select("doc_id"), ["doc_id"], "place")
+    width = max(k, 1000)
+    known = materialize(known.select("doc_id", F.floor(F.col("place") / width).alias("range")), "id-ranges")
+    sizes = known.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    matched = scores.select("query_id", "doc_id").join(known, "doc_id").groupBy("query_id", "range").agg(F.count(F.lit(1)).alias("matched"))
+    by_range = Window.partitionBy("query_id").orderBy("range")
+    run = (  # ranges that are matched, as far as they follow each other from the first
+        matched.join(sizes, "range")
+        .select("query_id", "range", (F.col("size") - F.col("matched")).alias("free"), F.row_number().over(by_range).alias("nth"))
+        .where("nth = range + 1")
+        .withColumn("before", F.sum("free").over(by_range) - F.col("free"))
+    )
+    run = materialize(run, "matched-ranges")
+    ends = run.groupBy("query_id").agg(F.max("nth").alias("next"), F.sum("free").alias("total"))
+    after = wanted.join(ends, "query_id", "left").where(F.coalesce("total", F.lit(0)) < k).select("query_id", F.coalesce("next", F.lit(0)).cast("bigint").alias("range"))
+    needed = run.where(f"free > 0 AND before < {int(k)}").select("query_id", "range").union(after)
+    fill = known.join(needed, "range").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return fill.join(scores.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
 def _unchanged(df: DataFrame) -> DataFrame:
