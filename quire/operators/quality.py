@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.core import adjacent, bind, pin, safe_ratio
 from quire.functions.markdown import FENCED_CODE, TABLE_ROW, TABLE_SEPARATOR, bare_line, split_lines, strip
+from quire.session import materialize
 
 
 def squash(text: Column) -> Column:
@@ -133,12 +134,104 @@ def first_good(candidates: list[tuple[str, Column, Column]]) -> Column:
     )
 
 
+#: Pages of a document that are folded together.
+PAGE_BLOCK = 128
+_LAST = "struct<num:bigint,mark:string,some:boolean>"
+_STATE = f"struct<cols:int,cols_in:boolean,last:{_LAST},last_in:boolean>"
+
+
+def _after_page(a: Column, s: Column, same_cols: Column, same_list: Column, keep_tail: bool) -> tuple[Column, Column]:
+    """Kind of a page and the state after it. ``cols_in`` and ``last_in`` say that a value is still the one before the block.
+
+    A value from before the block is compared once at most, as a page that compares it also replaces it, and the page at which that
+    happens is the same on every path; ``same_cols`` and ``same_list`` are the outcomes.
+    """
+    lead, first, last = s["lead_cols"], s["first"], a["last"]
+    table = lead.isNotNull() & F.when(a["cols_in"], same_cols).otherwise(F.coalesce(a["cols"] == lead, F.lit(False)))
+    itemized = first["num"].isNotNull() | first["mark"].isNotNull()
+    listed = ~table & F.when(a["last_in"], same_list & itemized).otherwise(_continues(last, first))
+    kind = F.when(table, "table").when(listed, "list").otherwise("append")
+    nothing = F.struct(F.lit(None).cast("bigint").alias("num"), F.lit(None).cast("string").alias("mark"), F.lit(True).alias("some")).cast(_LAST)
+    new_cols, new_last = s["last_cols"], F.when(s["last"]["some"], s["last"].cast(_LAST))
+    if not keep_tail:
+        new_cols = F.when(table, F.coalesce(s["body_cols"], lead)).when(~listed, new_cols)
+        new_last = F.when(table, F.when(s["body_cols"].isNotNull(), nothing)).when(listed, first.cast(_LAST)).otherwise(new_last)
+    state = F.struct(
+        F.coalesce(new_cols, a["cols"]).alias("cols"), (a["cols_in"] & new_cols.isNull()).alias("cols_in"),
+        F.coalesce(new_last, last).alias("last"), (a["last_in"] & new_last.isNull()).alias("last_in"),
+    )
+    return kind, state.cast(_STATE)
+
+
+def _continues(last: Column, first: Column) -> Column:
+    """True if a list item ``first`` goes on after ``last``."""
+    numbered = last["num"].isNotNull() & first["num"].isNotNull()
+    return F.coalesce(F.when(numbered, first["num"] == last["num"] + 1).otherwise(last["mark"] == first["mark"]), F.lit(False))
+
+
+def _page_kinds(summary: DataFrame, keep_tail: bool) -> DataFrame:
+    """``doc_id, page, kind`` by a segment scan over ``doc_id, s``.
+
+    A block of pages is a map of states: what it leaves behind, for both outcomes of either comparison with the state before it.
+    The maps of a document are composed in order, and every block is then walked from its own state.
+    """
+    nowhere = F.struct(F.lit(None).cast("int").alias("cols"), F.lit(False).alias("cols_in"), F.struct(F.lit(None).alias("num"), F.lit(None).alias("mark"), F.lit(False).alias("some")).alias("last"), F.lit(False).alias("last_in")).cast(_STATE)
+    unknown = F.struct(F.lit(None).cast("int").alias("cols"), F.lit(True).alias("cols_in"), F.struct(F.lit(None).alias("num"), F.lit(None).alias("mark"), F.lit(False).alias("some")).alias("last"), F.lit(True).alias("last_in")).cast(_STATE)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("s.page")) - 1
+    begun = F.min(F.when(F.col("s.n") > 0, F.col("s.page"))).over(Window.partitionBy("doc_id"))
+    placed = summary.select("doc_id", "s", begun.alias("begun"), F.floor(place / PAGE_BLOCK).alias("block"))
+    blocks = materialize(placed.groupBy("doc_id", "block").agg(F.first("begun").alias("begun"), F.array_sort(F.collect_list("s")).alias("pages")), "page-blocks")
+
+    def walked(bits: Column) -> Column:
+        return F.aggregate("pages", unknown, lambda a, s: _after_page(a, s, F.pmod(bits, F.lit(2)) == 1, bits >= 2, keep_tail)[1])
+
+    maps = blocks.select(
+        "doc_id",
+        F.struct(
+            "block",
+            F.get(F.filter(F.transform("pages", lambda s: s["lead_cols"]), lambda c: c.isNotNull()), 0).alias("lead_cols"),
+            F.get(F.filter(F.transform("pages", lambda s: s["first"]), lambda f: f["num"].isNotNull() | f["mark"].isNotNull()), 0).alias("first"),
+            F.transform(F.sequence(F.lit(0), F.lit(3)), walked).alias("ends"),
+        ).alias("map"),
+    )
+
+    def compose(a: Column, m: Column) -> Column:
+        state = a["state"]
+        same = F.coalesce(state["cols"] == m["lead_cols"], F.lit(False)).cast("int")
+        bits = same + 2 * F.coalesce(_continues(state["last"], m["first"]), F.lit(False)).cast("int")
+        end = F.element_at(m["ends"], bits + 1)
+        after = F.struct(
+            F.when(end["cols_in"], state["cols"]).otherwise(end["cols"]).alias("cols"), F.lit(False).alias("cols_in"),
+            F.when(end["last_in"], state["last"]).otherwise(end["last"]).alias("last"), F.lit(False).alias("last_in"),
+        ).cast(_STATE)
+        return F.struct(after.alias("state"), F.concat(a["out"], F.array(F.struct(m["block"].alias("block"), state.alias("state")))).alias("out"))
+
+    start = F.struct(nowhere.alias("state"), F.array().cast(f"array<struct<block:bigint,state:{_STATE}>>").alias("out"))
+    states = maps.groupBy("doc_id").agg(F.aggregate(F.array_sort(F.collect_list("map")), start, compose, lambda a: a["out"]).alias("_out"))
+
+    def step(a: Column, s: Column) -> Column:
+        kind, state = _after_page(a["state"], s, F.lit(False), F.lit(False), keep_tail)
+        return F.struct(state.alias("state"), F.concat(a["out"], F.array(F.struct(s["page"].cast("bigint").alias("page"), kind.alias("kind")))).alias("out"))
+
+    begin = F.struct(F.col("state"), F.array().cast("array<struct<page:bigint,kind:string>>").alias("out"))
+    kinds = blocks.join(states.select("doc_id", F.inline("_out")), ["doc_id", "block"]).select(
+        "doc_id", "begun", F.inline(F.aggregate("pages", begin, step, lambda a: a["out"]))
+    )
+    first = F.col("begun").isNull() | (F.col("page") <= F.col("begun"))
+    return kinds.select("doc_id", "page", F.when(first, "first").otherwise(F.col("kind")).alias("kind"))
+
+
+def merged_lists(joined: DataFrame) -> DataFrame:
+    """``doc_id, kind, pages``: the pages that were merged into the one before, in order, per kind (table or list)."""
+    return joined.where("kind IN ('table', 'list')").groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+
+
 def merge_pages(pages: DataFrame, keep_tail: bool = False) -> DataFrame:
     """Join pages of a document over table and list breaks: (doc_id, page, kind, kept).
 
     ``pages`` is (doc_id, page, text). ``kind`` is first, table, list or append; ``kept`` is what the page adds. With
     ``keep_tail=False`` a page that continues a table or list adds only that part; with True its rest stays too.
-    The walk over a document sees a fixed-size summary per page; page texts stay spread and join back by (doc, page).
+    The walk over a document sees a fixed-size summary per page, in blocks; page texts stay spread and join back by (doc, page).
     """
     ordered, bullet = r"^(\d+)\.\s+", r"^([-*])\s+"
     base = pin(pages, "_lines", F.filter(F.transform(split_lines(F.col("text")), bare_line), lambda x: x.isNotNull()))
@@ -181,51 +274,7 @@ def merge_pages(pages: DataFrame, keep_tail: bool = False) -> DataFrame:
             skip.alias("skip"),
         ).alias("s"),
     )
-    key_type = "struct<num:bigint,mark:string,some:boolean>"
-    zero = F.struct(
-        F.lit(False).alias("begun"),
-        F.lit(None).cast("int").alias("cols"),
-        F.struct(F.lit(None).cast("long").alias("num"), F.lit(None).cast("string").alias("mark"), F.lit(False).alias("some"))
-        .cast(key_type)
-        .alias("last"),
-        F.array().cast("array<struct<page:bigint,kind:string>>").alias("out"),
-    )
-
-    def step(a: Column, s: Column) -> Column:
-        table = a["begun"] & F.coalesce(a["cols"] == s["lead_cols"], F.lit(False))
-        both_numbered = a["last"]["num"].isNotNull() & s["first"]["num"].isNotNull()
-        listed = F.when(both_numbered, s["first"]["num"] == a["last"]["num"] + 1).otherwise(
-            F.coalesce(a["last"]["mark"] == s["first"]["mark"], F.lit(False))
-        )
-        as_list = a["begun"] & ~table & listed
-        kind = (
-            F.when(~a["begun"], "first").when(table, "table").when(as_list, "list").otherwise("append")
-        )
-        own_cols = F.coalesce(s["last_cols"], a["cols"])
-        own_last = F.when(s["last"]["some"], s["last"]).otherwise(a["last"])
-        nothing = F.struct(
-            F.lit(None).cast("long").alias("num"), F.lit(None).cast("string").alias("mark"), F.lit(True).alias("some")
-        ).cast(key_type)
-        if keep_tail:
-            cols, last = own_cols, own_last
-        else:
-            cols = F.when(table, F.coalesce(s["body_cols"], a["cols"])).when(as_list, a["cols"]).otherwise(own_cols)
-            last = (
-                F.when(table, F.when(s["body_cols"].isNotNull(), nothing).otherwise(a["last"]))
-                .when(as_list, s["first"])
-                .otherwise(own_last)
-            )
-        return F.struct(
-            (a["begun"] | (s["n"] > 0)).alias("begun"),
-            cols.alias("cols"),
-            last.cast(key_type).alias("last"),
-            F.concat(a["out"], F.array(F.struct(s["page"].cast("bigint").alias("page"), kind.alias("kind")))).alias("out"),
-        )
-
-    walk = summary.groupBy("doc_id").agg(
-        F.aggregate(F.array_sort(F.collect_list("s")), zero, step, lambda a: a["out"]).alias("_out")
-    )
-    kinds = walk.select("doc_id", F.inline("_out"))
+    kinds = _page_kinds(summary, keep_tail)
     body = F.slice(lines, skip + 1, F.greatest(F.col("_lead") - skip, F.lit(0)))
     if keep_tail:
         kept = F.when(F.col("kind") == "table", F.slice(lines, skip + 1, F.size(lines))).otherwise(lines)
