@@ -1,7 +1,8 @@
 """Best-two-fit packing of tokenized documents into sequences of one capacity.
 
 A sequence is filled greedily, the longest piece that still fits first. Where a gap stays, the smallest piece of the sequence is
-taken out again if two unpacked pieces fit the widened gap more tightly, and this is repeated while it helps.
+taken out again if two unpacked pieces fit the widened gap more tightly, and this is repeated while it helps. The plan of the greedy
+filling alone is made as well (both are small) and taken only if it needs fewer sequences.
 
 Only lengths decide, and there are no more of them than the capacity. So the tasks count pieces per length, the driver packs
 these counts (a pattern of lengths is used as often as the counts allow, since nothing that changes meanwhile could change the
@@ -196,7 +197,7 @@ def _widest_pair(free: np.ndarray, room: int) -> tuple[int, int] | None:
     return pair
 
 
-def _fill(free: np.ndarray, capacity: int) -> dict[int, int]:
+def _fill(free: np.ndarray, capacity: int, swap: bool = True) -> dict[int, int]:
     """One sequence as counts per length; ``free`` (counts by length) is left as it was."""
     free, gap, packed = free.copy(), capacity, {}
 
@@ -211,7 +212,7 @@ def _fill(free: np.ndarray, capacity: int) -> dict[int, int]:
     while gap > 0 and len(fits := np.flatnonzero(free[: gap + 1])):
         n = int(fits[-1])
         put(n, min(int(free[n]), gap // n))
-    while gap > 0 and packed:
+    while swap and gap > 0 and packed:
         least = min(packed)
         put(least, -1)
         pair = _widest_pair(free, gap)
@@ -223,14 +224,14 @@ def _fill(free: np.ndarray, capacity: int) -> dict[int, int]:
     return packed
 
 
-def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+def patterns(counts: dict[int, int], capacity: int = CAPACITY, swap: bool = True) -> list[tuple[int, dict[int, int]]]:
     """(times used, counts per length) until all pieces are packed."""
     free = np.zeros(capacity + 1, np.int64)
     for n, k in counts.items():
         free[n] = k
     out = []
     while free.any():
-        packed = _fill(free, capacity)
+        packed = _fill(free, capacity, swap)
         times = min(int(free[n]) // k for n, k in packed.items())
         for n, k in packed.items():
             free[n] -= times * k
@@ -238,6 +239,12 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """The patterns with replacements, or those of the greedy filling alone in the rare case that they need fewer sequences."""
+    plans = patterns(counts, capacity), patterns(counts, capacity, swap=False)
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
 def _ranges(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     """Sorted rows: length and first rank in one number, first sequence, pieces of the length per sequence, their first offset."""
     rows, used, sequence = [], {}, 0
@@ -255,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a written table of pieces."""
     ship_by_value(__name__)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
-    shared = pieces.sparkSession.sparkContext.broadcast(_ranges(patterns(counts, capacity)))
+    shared = pieces.sparkSession.sparkContext.broadcast(_ranges(fewest(counts, capacity)))
     ranked = placed(pieces, "length", ["doc_id", "piece", "ids_crc32"]).drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

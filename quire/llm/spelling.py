@@ -94,7 +94,8 @@ def long_prefixes(word: str, skip: bool) -> tuple[np.ndarray, np.ndarray]:
     y = i + 1 if skip else i
     names = []
     for salt in _SALTS:
-        sums = np.concatenate([[0], np.cumsum(mixed(points * _BASE ^ salt) * up[:n])]).astype(np.uint64)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(points * _BASE ^ salt) * up[:n], out=sums[1:])
         left, right = sums[i], (sums[n] - sums[y]) * down[y]
         names.append(mixed(left ^ mixed(right ^ mixed(i.astype(np.uint64) ^ mixed((n - y).astype(np.uint64) ^ salt)))))
     first = np.concatenate([[True], points[1:] != points[:-1]]) if skip else np.zeros(n + 1, bool)
