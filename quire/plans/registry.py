@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import documents, evaluation, extras, indexes, more, quality, retrieval, streams
+from quire.plans import documents, evaluation, extras, indexes, more, parsing, quality, retrieval, streams
 
-MODULES = (documents, retrieval, evaluation, quality, streams, more, extras, indexes)
+MODULES = (documents, retrieval, evaluation, quality, streams, more, extras, indexes, parsing)
 
 
 def all_queries() -> dict:
