@@ -1,4 +1,4 @@
-"""Queries over parsing chains and cached model calls."""
+"""Queries over parsing chains, cached model calls and budgets of generated questions."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import keys
 from quire.operators import parse_chain as P
+from quire.operators.generation import generate, numbered_items, quotas
 from quire.plans.common import registry, table
 from quire.session import shared_dir, spread
 from quire.sources.cache import CallCache, cached_call
@@ -87,3 +88,35 @@ def judge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache.compact(start + dt.timedelta(days=2))
     done = cached_call(rows, "key", judge("three", "CASE WHEN n % 7 = 0 THEN 'busy' END"), cache, start + dt.timedelta(days=3, hours=12))
     return done.select("key", "hit", "reply", "error")
+
+
+@query(
+    "question_budget",
+    """WITH n AS (SELECT count(*) AS n FROM documents),
+    b AS (SELECT doc_id, text, 6 + CASE WHEN row_number() OVER (ORDER BY doc_id) <= n // 3 THEN 1 ELSE 0 END AS budget FROM documents, n),
+    q AS (SELECT *, budget - least(3, greatest(1, budget // 4)) AS single_limit FROM b),
+    p AS (SELECT doc_id, budget, single_limit, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM q),
+    s AS (SELECT *, sum(CASE WHEN (length(t) + no) % 5 <> 0 THEN 2 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS cum, CASE WHEN (length(t) + no) % 5 <> 0 THEN 2 END AS items FROM p),
+    sa AS (SELECT doc_id, budget, 'single' AS kind, no AS ask_no, items FROM s WHERE cum - coalesce(items, 0) < single_limit),
+    g AS (SELECT doc_id, coalesce(sum(items), 0) AS got FROM sa GROUP BY 1),
+    m AS (SELECT doc_id, budget, no // 2 AS ask_no, sum(length(t)) + 7 AS len FROM p GROUP BY ALL HAVING count(*) = 2),
+    mc AS (SELECT *, CASE WHEN (len + ask_no) % 5 <> 0 THEN 1 END AS items, sum(CASE WHEN (len + ask_no) % 5 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ask_no) AS cum FROM m),
+    ma AS (SELECT doc_id, 'multi' AS kind, ask_no, items FROM mc JOIN g USING (doc_id) WHERE cum - coalesce(items, 0) < least(3, budget - got)),
+    a AS (SELECT doc_id, kind, ask_no, items FROM sa UNION ALL SELECT * FROM ma),
+    i AS (SELECT doc_id, kind, ask_no, unnest(range(items)) AS item_no FROM a WHERE items > 0)
+    SELECT 'auto-' || CASE WHEN r < 10000 THEN lpad(CAST(r AS VARCHAR), 4, '0') ELSE CAST(r AS VARCHAR) END AS query_id, doc_id, kind, ask_no, item_no
+    FROM (SELECT *, row_number() OVER (ORDER BY doc_id, kind DESC, ask_no, item_no) - 1 AS r FROM i)""",
+)
+def question_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six or seven questions per document from its lines, by a model that gives two to a chunk, one to a pair, and fails at times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = docs.count()
+    lines = spread(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("parent_no", "content"))
+    parents = lines.withColumn("chunk_id", F.col("parent_no"))
+
+    def model(asks: DataFrame) -> DataFrame:
+        good = (F.length("content") + F.col("ask_no")) % 5 != 0
+        return asks.withColumn("items", F.when(good, F.when(F.col("kind") == "single", 2).otherwise(1)).cast("long")).drop("content")
+
+    asked = generate(parents, quotas(docs, 6 * n + n // 3, 3), model, per_chunk=2, pairs=3, max_failures=1000)
+    return numbered_items(asked, "auto").select("query_id", "doc_id", "kind", "ask_no", "item_no")
