@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.core import pin
+from quire.operators.runs import signed_ranks, wilcoxon_p
 from quire.settings import DEFAULTS, Settings
 
 
@@ -116,6 +117,29 @@ def needle_verdict(stages: DataFrame, max_drop: float = 0.05, min_penetration: f
     )
 
 
+def staged_best(added: list[tuple[str, DataFrame]], k: int, key: str) -> DataFrame:
+    """``stage, query_id, key, rank``: the best k of every stage of a growing corpus, from the best k of what each stage adds.
+
+    ``added`` is (stage, hits with query_id, key and score) in order; a stage holds its own rows and those of all before. A group has
+    k rows per stage at most.
+    """
+    rows, names = None, [name for name, _ in added]
+    for i, (_, hits) in enumerate(added):
+        part = hits.select("query_id", key, "score", F.explode(F.array(*[F.lit(n) for n in names[i:]])).alias("stage"))
+        rows = part if rows is None else rows.unionByName(part)
+    order = Window.partitionBy("stage", "query_id").orderBy(F.desc("score"), key)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("stage", "query_id", key, "rank")
+
+
+def needle_p(stages: DataFrame, value: str = "recall") -> DataFrame:
+    """``p_value`` of the signed-rank test between control and noisy, paired by query; 1 if no query changes, no row without pairs."""
+    def side(stage: str, name: str) -> DataFrame:
+        return stages.where(F.col("stage") == stage).select("query_id", F.col(value).cast("double").alias(name))
+
+    pairs = side("control", "a").join(side("noisy", "b"), "query_id").withColumn("metric", F.lit(value))
+    return signed_ranks(pairs).select(wilcoxon_p("n", "w_plus", "w_minus", "tie_term", "zeros").alias("p_value"))
+
+
 def adjacent_pairs(parents: DataFrame) -> DataFrame:
     """Pairs of neighbouring parents (0,1), (2,3), ... per document for questions over two chunks.
 

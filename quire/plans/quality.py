@@ -219,6 +219,8 @@ def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STAGES = {"clean": "label < 7", "control": "label < 8", "noisy": "true"}
+#: What each stage adds to the one before; together every vector once.
+ADDED = {"clean": "label < 7", "control": "label = 7", "noisy": "label > 7 OR label IS NULL"}
 _STAGE_SQL = ", ".join(
     neighbours_sql(5, corpus.replace("label", "e.label"), f"nb_{stage}") for stage, corpus in STAGES.items()
 )
@@ -232,28 +234,30 @@ _STAGE_SQL = ", ".join(
     q AS (SELECT stage, query_id, max(CASE WHEN el = ql THEN 1 ELSE 0 END) AS recall, max(CASE WHEN el >= 8 THEN 1 ELSE 0 END) AS pen, max(CASE WHEN el = ql THEN 1.0 / rank ELSE 0 END) AS rr FROM r GROUP BY ALL),
     a AS (SELECT avg(CASE WHEN stage = 'clean' THEN recall END) AS c, avg(CASE WHEN stage = 'control' THEN recall END) AS k, avg(CASE WHEN stage = 'noisy' THEN recall END) AS n, avg(CASE WHEN stage = 'noisy' THEN pen END) AS p,
       avg(CASE WHEN stage = 'clean' THEN rr END) AS mc, avg(CASE WHEN stage = 'control' THEN rr END) AS mk, avg(CASE WHEN stage = 'noisy' THEN rr END) AS mn FROM q)
-    SELECT round(c, 6) AS recall_clean, round(k, 6) AS recall_control, round(n, 6) AS recall_noisy, round(mc, 6) AS mrr_clean, round(mk, 6) AS mrr_control, round(mn, 6) AS mrr_noisy,
+    ,w AS (SELECT count(*) FILTER (d <> 0) AS n, count(*) FILTER (d > 0) AS pos, count(*) FILTER (d = 0) AS zeros FROM (SELECT k.recall - n.recall AS d FROM q k JOIN q n USING (query_id) WHERE k.stage = 'control' AND n.stage = 'noisy')),
+    z AS (SELECT *, abs(least(pos, n - pos) * (n + 1) / 2.0 - n * (n + 1) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - 0.5 * (pow(n, 3) - n)) / 24) / sqrt(2) AS x FROM w WHERE n > 0),
+    pv AS (SELECT CASE WHEN n = 1 AND zeros = 0 THEN 1 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * (SELECT sum(exp(k * ln(2) + (2 * k + 1) * ln(greatest(x, 1e-12)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))) FROM (SELECT unnest(range(0, 400)) AS k)) END AS p FROM z)
+    SELECT round(coalesce((SELECT p FROM pv), 1), 6) AS p_value, round(c, 6) AS recall_clean, round(k, 6) AS recall_control, round(n, 6) AS recall_noisy, round(mc, 6) AS mrr_clean, round(mk, 6) AS mrr_control, round(mn, 6) AS mrr_noisy,
      round(p, 6) AS penetration, round(c - k, 6) AS scale_drop, round(k - n, 6) AS interference_drop,
      CASE WHEN p < 0.1 THEN 'INCONCLUSIVE' WHEN k - n < 0.05 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a""",
 )
 def needle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels below 7 are the clean corpus, 7 the control documents and 8, 9 the noisy ones; each stage adds to the last.
 
-    Each stage is a search of its own corpus. Queries are the asking vectors with relevant rows in the clean corpus.
+    Only the rows that a stage adds are searched, so that all vectors are read once, and the best lists are merged. ``p_value`` is the
+    signed-rank test of recall between control and noisy. Queries are the asking vectors with relevant rows in the clean corpus.
     """
     e = embeddings(spark, sf_dir).select("vec_id", "label")
     mine = e.where("label < 7").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
-    staged = None
-    for stage, corpus in STAGES.items():
-        found = neighbours(spark, sf_dir, 5, corpus).select(F.lit(stage).alias("stage"), "query_id", "vec_id", "rank")
-        staged = found if staged is None else staged.unionByName(found)
+    staged = C.staged_best([(stage, neighbours(spark, sf_dir, 5, added)) for stage, added in ADDED.items()], 5, "vec_id")
     hit = F.col("label") == F.col("q_label")
     per = staged.join(mine, "query_id").join(e, "vec_id").groupBy("stage", "query_id").agg(
         F.max(hit.cast("int")).alias("recall"),
         F.max((F.col("label") >= 8).cast("int")).alias("penetrated"),
         F.max(F.when(hit, 1.0 / F.col("rank")).otherwise(0.0)).alias("mrr"),
     )
-    out = C.needle_verdict(per)
+    per = materialize(per, "needle-stages")
+    out = C.needle_verdict(per).join(C.needle_p(per), F.lit(True), "left")  # one row each
     return out.select(*[F.round(c, 6).alias(c) if c != "verdict" else F.col(c) for c in out.columns])
 
 
