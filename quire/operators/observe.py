@@ -62,6 +62,48 @@ def cost_summary(calls: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     )
 
 
+#: Stages whose times stand in the summary of a run.
+RUN_STAGES = ("retrieve", "generate", "judge_faithfulness", "judge_quality", "end_to_end")
+
+
+def run_summary(calls: DataFrame, durations: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The whole cost and time summary of a run as one row.
+
+    ``calls`` is as for ``cost_summary`` with ``error_type`` (of calls that failed) and ``parse_error``; ``durations`` is
+    (stage, ms). Adds the 95th percentile of tokens per call, the rerank cache (null when it was never asked), parse
+    errors, errors by type, and p50, p75, p95 of every stage; a stage without times has zeros. Percentiles of all
+    series come from one pass over merged values.
+    """
+    asked = (F.col("kind") == "rerank") & F.col("cache_hit").isNotNull()
+    more = calls.agg(
+        F.round(F.try_divide(F.count_if(asked & F.col("cache_hit")).cast("double"), F.count_if(asked).cast("double")), 4).alias("rerank_cache_hit_rate"),
+        F.count_if("parse_error").alias("parse_error_count"),
+    )
+    kinds = calls.where(F.col("is_error")).groupBy(F.coalesce("error_type", F.lit("unknown")).alias("_type")).agg(F.count(F.lit(1)).alias("_times"))
+    tokens = calls.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("v")) for c in ("input_tokens", "output_tokens")]))
+    )
+    series = durations.where(F.col("stage").isin(*RUN_STAGES)).select(
+        F.concat(F.lit("stage_"), F.col("stage")).alias("series"), F.col("ms").cast("double").alias("v")
+    )
+    cuts = percentiles(tokens.unionByName(series), ["series"], "v", {"p50": 0.5, "p75": 0.75, "p95": 0.95})
+    base = cost_summary(calls, cfg).withColumnRenamed("generator_calls", "generator_llm_calls")
+    # A handful of rows: one of each part, one per error type and one per series.
+    rows = base.unionByName(more, allowMissingColumns=True).unionByName(kinds, allowMissingColumns=True)
+    rows = rows.unionByName(cuts.select("series", "p50", "p75", "p95"), allowMissingColumns=True)
+
+    def cut(name: str, p: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("series") == name, F.col(p))), F.lit(0.0)).alias(f"{name}_{p}")
+
+    by_type = F.map_from_entries(F.collect_list(F.when(F.col("_type").isNotNull(), F.struct("_type", "_times"))))
+    return rows.agg(
+        *[F.max(c).alias(c) for c in (*base.columns, *more.columns)],
+        by_type.alias("errors_by_type"),
+        *[cut(c, "p95") for c in ("input_tokens", "output_tokens")],
+        *[cut(f"stage_{s}", p) for s in RUN_STAGES for p in ("p50", "p75", "p95")],
+    )
+
+
 def missing(expected: Column, found: Column) -> Column:
     """Expected ids that were not found; order and duplicates stay."""
     return F.filter(expected, lambda x: ~F.array_contains(found, x))

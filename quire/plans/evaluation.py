@@ -336,6 +336,40 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {CALLS} FROM _quire_events")
 
 
+# Spans of the run by event type, with the time in milliseconds; a null or zero time is a stage that did not run.
+SPANS = "CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'click' THEN 'generate' WHEN 'purchase' THEN 'judge_quality' ELSE 'end_to_end' END AS stage, value AS ms"
+RUN_CALLS = """CASE event_type WHEN 'view' THEN 'generator' WHEN 'click' THEN 'rerank' WHEN 'purchase' THEN 'judge_quality' ELSE 'judge_faithfulness' END AS kind,
+ CAST(round(value * 10) AS BIGINT) AS input_tokens, CAST(round(value) AS BIGINT) AS output_tokens, CASE WHEN value > 10 THEN value > 60 END AS cache_hit,
+ value > 150 AS is_error, CASE WHEN value > 250 THEN 'Timeout' WHEN value > 180 THEN 'RateLimit' END AS error_type, value > 200 AS is_retry, value BETWEEN 5 AND 6 AS parse_error"""
+_RATE = "round(count(*) FILTER (kind = '{0}' AND cache_hit) / nullif(count(*) FILTER (kind = '{0}' AND cache_hit IS NOT NULL), 0), 4)"
+_STAGE_SQL = ", ".join(
+    f"round(coalesce(quantile_cont(ms, {q}) FILTER (stage = '{s}'), 0), 4) AS stage_{s}_{p}" for s in O.RUN_STAGES for p, q in (("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
+)
+
+
+@query(
+    "run_summary",
+    f"""WITH c AS (SELECT {RUN_CALLS} FROM events), d AS (SELECT {SPANS} FROM events),
+    er AS (SELECT coalesce(error_type, 'unknown') AS t, count(*) AS n FROM c WHERE is_error GROUP BY 1),
+    a AS (SELECT sum(input_tokens) AS total_input_tokens, sum(output_tokens) AS total_output_tokens, quantile_cont(input_tokens, 0.95) AS input_tokens_p95, quantile_cont(output_tokens, 0.95) AS output_tokens_p95,
+     round(sum(input_tokens) / 1000 * 0.0003 + sum(output_tokens) / 1000 * 0.0012, 6) AS estimated_cost, coalesce({_RATE.format('generator')}, 0) AS generator_cache_hit_rate,
+     coalesce({_RATE.format('judge_quality')}, 0) AS judge_cache_hit_rate, {_RATE.format('rerank')} AS rerank_cache_hit_rate,
+     round(coalesce(count(*) FILTER (is_error) / nullif(count(*) FILTER (kind <> 'rerank'), 0), 0), 4) AS error_rate, count(*) FILTER (is_retry) AS retry_count, count(*) FILTER (parse_error) AS parse_error_count,
+     count(*) FILTER (kind = 'generator') AS generator_llm_calls, count(*) FILTER (kind = 'judge_faithfulness') AS judge_faithfulness_calls, count(*) FILTER (kind = 'judge_quality') AS judge_quality_calls FROM c),
+    s AS (SELECT {_STAGE_SQL} FROM d)
+    SELECT a.*, s.*, (SELECT string_agg(t || '=' || n, ',' ORDER BY t) FROM er) AS errors_by_type FROM a, s""",
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary row of a run over calls and spans made from the events."""
+    events = table(spark, sf_dir, "events")
+    events.createOrReplaceTempView("_quire_events")
+    out = O.run_summary(spark.sql(f"SELECT {RUN_CALLS} FROM _quire_events"), spark.sql(f"SELECT {SPANS} FROM _quire_events"))
+    listed = F.transform(F.array_sort(F.map_entries("errors_by_type")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    # Interpolated times are rounded, so both engines give the same last digit.
+    times = {c: F.round(c, 4) for c in out.columns if c.startswith("stage_")}
+    return out.withColumns({"errors_by_type": F.concat_ws(",", listed), **times})
+
+
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces from the neighbour lists: ten recalled, eight before and five after reranking."""
     lists = neighbours(spark, sf_dir, 10).groupBy("query_id").agg(

@@ -10,6 +10,7 @@ from quire.operators import models, observe
 from quire.operators.evaluation import SCORES
 from quire.operators.runs import delta_only
 from quire.plans.common import registry, table
+from quire.session import ship_by_value, spread
 
 QUERIES, ORACLES, query = registry()
 
@@ -84,3 +85,39 @@ def rerank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"),
     )
     return d.select("doc_id", F.sha2(pair, 256).alias("digest"))
+
+
+EMBED_DIM, EMBED_WORDS = 16, 4000
+
+
+def letter_model():
+    """Stand-in for an embedding model: counts of the first letters of words; like a real one it refuses long texts."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            words = [w for w in text.split(" ") if w]
+            if len(words) > EMBED_WORDS:
+                raise ValueError("too long")
+            counts = [0.0] * EMBED_DIM
+            for w in words:
+                counts[ord(w[0]) % EMBED_DIM] += 1
+            out.append(counts)
+        return out
+
+    return encode
+
+
+@query(
+    "embed_stage",
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents),
+    c AS (SELECT doc_id, len(ws) > {EMBED_WORDS} AS long, list_transform(range(0, {EMBED_DIM}), lambda i: CAST(len(list_filter(ws, lambda x: unicode(x) % {EMBED_DIM} = i)) AS DOUBLE)) AS v FROM w)
+    SELECT doc_id, CASE WHEN NOT long THEN list_transform(v, lambda x: round(CASE WHEN list_sum(v) = 0 THEN 0 ELSE x / sqrt(list_inner_product(v, v)) END, 6)) END AS vector,
+    CASE WHEN long THEN 'ValueError: too long' END AS vector_error FROM c""",
+)
+def embed_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through the model stage; texts that the model refuses keep their row and get an error."""
+    ship_by_value(__name__)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = models.embed(docs, "text", "vector", letter_model, EMBED_DIM)
+    return out.select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"), "vector_error")

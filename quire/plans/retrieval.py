@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import fusion
 from quire.operators.chunking import child_chunks, chunk_seq, parent_chunks, parent_key, with_quality
+from quire.operators.retriever import child_metrics, retrieve
 from quire.operators.search import bm25_topk, dense_topk, postings, query_terms
 from quire.operators.signatures import corpus_signature
 from quire.plans.common import registry, table
 from quire.plans.documents import overlap_sql, split_sql
 from quire.session import materialize, spread
+from quire.settings import DEFAULTS
 
 QUERIES, ORACLES, query = registry()
 DIM = 16
@@ -164,9 +168,6 @@ def rerank_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("content"), "source")
     pool = fusion.ranked(fusion.rrf(dense, sparse), POOL).withColumnRenamed("rank", "rrf_rank")
 
-    def closeness(q, t):
-        return F.length(t).cast("double") / (1 + F.abs(F.length(t) - F.length(q) * 10))
-
     store = full.withColumnRenamed("key", "chunk_id")
     candidates = fusion.attach(pool, store.select("chunk_id", "content")).join(bench, "query_id")
     best = fusion.rerank(candidates, closeness, 5).select("query_id", "key", "rank")
@@ -248,7 +249,7 @@ def corpus_signature_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_signature(docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content")))
 
 
-HYBRID_SQL = f"""WITH bq AS (SELECT item_id AS query_id, text FROM benchmark),
+HYBRID_LISTS = f"""WITH bq AS (SELECT item_id AS query_id, text FROM benchmark),
  sm AS (SELECT CAST(doc_id AS VARCHAR) AS k, text AS content FROM documents WHERE length(text) // 2 < 200),
  lg AS (SELECT CAST(doc_id AS VARCHAR) AS k, text AS content FROM documents WHERE length(text) // 2 >= 200),
  {split_sql('sm', 300, 'xs')}, {split_sql('lg', 1200, 'xl')},
@@ -264,14 +265,14 @@ HYBRID_SQL = f"""WITH bq AS (SELECT item_id AS query_id, text FROM benchmark),
  ds AS (SELECT query_id, id, parent, round(list_inner_product(q.v, d.v) / sqrt(list_inner_product(q.v, q.v)) / sqrt(list_inner_product(d.v, d.v)), 6) AS score FROM qv q, dv d),
  de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= {POOL}),
  hi AS (SELECT query_id, parent AS key, rank, 0 AS list_no FROM de UNION ALL SELECT query_id, id, rank, 1 FROM bm),
- fu AS (SELECT query_id, key, sum(1.0 / (60 + rank)) AS rrf_score, min(list_no * 100000 + rank) AS first_seen FROM hi GROUP BY ALL),
+ fu AS (SELECT query_id, key, sum(1.0 / (60 + rank)) AS rrf_score, min(list_no * 100000 + rank) AS first_seen FROM hi GROUP BY ALL)"""
+HYBRID_SQL = f"""{HYBRID_LISTS},
  fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, first_seen, key) AS rank FROM fu)
  SELECT query_id, rank, key AS chunk_id, round(rrf_score, 9) AS rrf_score, length(dc.text) AS n_chars FROM fr JOIN dc ON dc.id = key WHERE rank <= 5"""
 
 
-@query("hybrid_retrieve", HYBRID_SQL)
-def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents to chunks, dense children and sparse parents, fusion at parent level, top five parents."""
+def hybrid_lists(spark: SparkSession, sf_dir: str):
+    """Queries, dense child hits, sparse parent hits and the written parents of the documents."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     # Parents feed the children, the postings and the final fetch, so they are written once.
     parents = materialize(parent_chunks(with_quality(docs)), "parents")
@@ -287,6 +288,13 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
         "rank",
     )
     sparse = bm25_topk(postings(parents, "chunk_id", "content"), query_terms(bench), POOL).withColumnRenamed("doc_id", "key")
+    return bench, dense, sparse, parents
+
+
+@query("hybrid_retrieve", HYBRID_SQL)
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to chunks, dense children and sparse parents, fusion at parent level, top five parents."""
+    _, dense, sparse, parents = hybrid_lists(spark, sf_dir)
     top = fusion.ranked(fusion.rrf(dense, sparse), 5)
     return fusion.attach(top, parents.select("chunk_id", "content")).select(
         "query_id", "rank", F.col("key").alias("chunk_id"), F.round("rrf_score", 9).alias("rrf_score"),
@@ -294,6 +302,48 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def closeness(query, text):
+    """Stand-in for a pair model: how near a text is to ten times the length of its query."""
+    return F.length(text).cast("double") / (1 + F.abs(F.length(text) - F.length(query) * 10))
+
+
+@query(
+    "retrieve_merged",
+    f"""{HYBRID_LISTS},
+ sq AS (SELECT query_id, parent AS key, score, rank, coalesce(TRY_CAST(regexp_replace(regexp_extract(id, '([^:]*)$', 1), '[^0-9]', '', 'g') AS BIGINT), 0) AS seq FROM de),
+ ke AS (SELECT query_id, key, len(list_reduce(list_transform(list(seq ORDER BY score DESC, rank), lambda x: [x]), lambda a, x: CASE WHEN list_has_any(a, [x[1] - 1, x[1] + 1]) THEN a ELSE list_concat(a, x) END)) AS kept
+   FROM sq GROUP BY query_id, key),
+ bo AS (SELECT fu.*, CASE WHEN kept >= 2 THEN rrf_score * 1.2 ELSE rrf_score END AS s, count(*) OVER (PARTITION BY query_id) AS n_recalled FROM fu LEFT JOIN ke USING (query_id, key)),
+ po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, first_seen, key) AS rrf_rank FROM bo),
+ sc AS (SELECT po.*, round(CAST(length(dc.text) AS DOUBLE) / (1 + abs(length(dc.text) - length(bq.text) * 10)), 9) AS pair FROM po JOIN dc ON dc.id = po.key JOIN bq USING (query_id) WHERE rrf_rank <= 40),
+ re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair DESC, rrf_rank) AS rank FROM sc)
+ SELECT query_id, rank, key AS chunk_id, rrf_rank, round(s, 9) AS rrf_score, n_recalled FROM re WHERE rank <= 5""",
+)
+def retrieve_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole retrieval: fusion, auto-merge by 1.2, forty candidates reranked, the best five."""
+    bench, dense, sparse, parents = hybrid_lists(spark, sf_dir)
+    found = retrieve(bench, dense, sparse, parents.select("chunk_id", "content"), 5, closeness, cfg=replace(DEFAULTS, merge_boost=1.2))
+    recalled = found.recalled.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_recalled"))
+    return found.top.join(recalled, "query_id").select(
+        "query_id", "rank", F.col("key").alias("chunk_id"), "rrf_rank", F.round("rrf_score", 9).alias("rrf_score"), "n_recalled"
+    )
+
+
+@query(
+    "child_metrics",
+    f"""WITH {neighbours_sql(POOL)}, lb AS (SELECT q.vec_id AS query_id, e.vec_id FROM embeddings q JOIN embeddings e ON e.vec_id // 50 = q.vec_id // 50 AND e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT lb.query_id, count(*) AS n_expected, CASE WHEN count(nb.vec_id) > 0 THEN 1 ELSE 0 END AS child_hit_at_k, round(count(nb.vec_id) / count(*), 6) AS child_recall_at_k
+    FROM lb LEFT JOIN nb ON nb.query_id = lb.query_id AND nb.vec_id = lb.vec_id AND nb.rank <= 20 GROUP BY lb.query_id""",
+)
+def child_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors in a row form a file, whose members are the labelled children of its asking vector; the first 20 of 40 hits count."""
+    e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("child_id"), F.floor(F.col("vec_id") / 50).alias("file"))
+    mine = asked(embeddings(spark, sf_dir)).select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 50).alias("file"))
+    labels = mine.join(e, "file").where("child_id <> query_id")  # fifty rows per asking vector
+    hits = neighbours(spark, sf_dir, POOL).withColumnRenamed("vec_id", "child_id")
+    return child_metrics(hits, labels).withColumn("child_recall_at_k", F.round("child_recall_at_k", 6))
+
+
 @query(
     "ordered_fetch",
     f"""WITH {neighbours_sql(5)} SELECT nb.query_id, nb.rank, d.doc_id, length(d.text) AS n_chars FROM nb JOIN documents d ON d.doc_id = nb.vec_id * 3""",
