@@ -2,15 +2,15 @@
 
 A URL becomes a set of tokens: scheme, host and its last parts, first directory, depth, file ending, first query key and
 fragment; every part of the host, every path segment, every query key and every key with its value, wherever they
-stand; and the words in host and path. Token sets that occur often together with a bad label are mined level by
-level; a set is a rule if its confidence and its lift over the share of bad labels are high enough. An inverted index
-from the rarest token of a rule to the rule decides the rest.
+stand; and the words in host and path. Spark's FP-growth mines the token sets that occur often together with a bad label; a
+set is a rule if its confidence is high enough, in itself and over the share of bad labels, and no smaller rule lies in it. An
+inverted index from the rarest token of a rule to the rule decides the rest.
 
-Minimum support and pruning bound the sets, not the number of tokens. A set grows only while it occurs with enough bad labels, is
-no rule itself (rules that contain a rule can block nothing more) and fits fewer URLs than each of its subsets. A set that
-fits the same URLs as a subset is a rule only if the subset is one, so this loses no minimal rule, and tokens that
-always come together do not multiply. The driver holds the sets of one level and the rules; URLs with the same frequent
-tokens are merged and stay in the tasks. Matching is row-local.
+Support and pruning bound the sets, not the number of tokens. Tokens that occur in exactly the same labelled URLs are one item,
+named by the first of them, so they do not multiply; a token that is a rule alone, or stands in every URL, is not mined
+further, since no minimal rule holds it. FP-growth still lists every frequent combination of the other items, which doubles
+with each item that always comes with another one; the distinct items of a URL are about ten. Sets, rules and the pruning stay
+on Spark; the rules are sent to the tasks only within a counted size, else joined by their anchor.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no fixed rule and has no tokens, so it is
 allowed; a host keeps its port and user part; of several fitting fixed rules the longest counts; repeated rows get the same
@@ -21,13 +21,13 @@ mining; without labels nothing is mined. Only ids and URLs are read from the pag
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import bounded, broadcast_checked, materialize
 from quire.session import ship_by_value
 
 #: Fixed verdicts: verdict, host, path.
@@ -40,8 +40,10 @@ RULES = (
 )
 MIN_SUPPORT = 0.002
 MIN_COUNT = 5
-#: Merged URLs that one counting task reads at least; the tasks grow with these, not with the partitions.
-TASK_SETS = 5000
+#: Rules, and tokens that stand for their items, that are sent to the tasks; more are joined.
+SENT_ROWS = 200_000
+#: The item that marks a bad URL among the tokens; no token is empty.
+LABEL = ""
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 2.0
 #: The floor of lift stays below this, or half way to 1 where more of the labels are bad, so that rules stay possible.
@@ -113,121 +115,103 @@ def confidence_floor(n: int, bad: int) -> float:
     return max(MIN_CONFIDENCE, min(MIN_LIFT * share, max(MAX_FLOOR, (1 + share) / 2)))
 
 
-def mine(labelled: DataFrame) -> list[list[str]]:
-    """Token sets that mark bad URLs, from rows with ``tokens`` and boolean ``bad``; minimal sets only."""
-    ship_by_value(__name__)
-    rows = materialize(labelled.where(F.size("tokens") > 0).select("tokens", "bad"), "url-items")
+def mine(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules and items from rows with ``tokens`` and boolean ``bad``.
+
+    Rules are rows of ``items`` (sorted, minimal sets); items are rows of (``t``, ``item``): the token and the item it counts
+    as. Both are empty with fewer than ``MIN_COUNT`` bad rows.
+    """
+    rows = labelled.where(F.size("tokens") > 0).select("tokens", "bad", F.monotonically_increasing_id().alias("_r"))
+    rows = materialize(rows, "url-items")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad")).first()
     n, bad = totals["n"], totals["bad"]
     if bad < MIN_COUNT:
-        return []
+        none = rows.limit(0)
+        return none.select(F.col("tokens").alias("items")), none.select(F.lit("").alias("t"), F.lit("").alias("item"))
     least = math.ceil(max(MIN_SUPPORT, (MIN_COUNT - 0.5) / n) * n)
     floor = confidence_floor(n, bad)
-    counts = [F.count(F.lit(1)).alias("freq"), F.sum(F.col("bad").cast("long")).alias("both")]
-    single = rows.select(F.explode("tokens").alias("t"), "bad").groupBy("t").agg(*counts).where(F.col("both") >= least).orderBy("freq", "t").collect()
-    names = [r["t"] for r in single]
-    level = {(i,): (r["freq"], r["both"]) for i, r in enumerate(single)}
-    known = rows.sparkSession.createDataFrame([(t, i) for i, t in enumerate(names)], "t string, i int")
-    coded = rows.withColumn("_r", F.monotonically_increasing_id()).select("_r", "bad", F.explode("tokens").alias("t")).join(F.broadcast(known), "t")
-    coded = coded.groupBy("_r", "bad").agg(F.array_sort(F.collect_list("i")).alias("items"))
-    coded = materialize(coded.groupBy("items").agg(*counts), "url-sets")
-    coded = coded.coalesce(max(1, math.ceil(coded.count() / TASK_SETS)))  # each task sends a sum per set it holds
-    rules: list[tuple[int, ...]] = []
-    below = {(): n}
-    while level:
-        free = {}
-        for x, (freq, both) in level.items():
-            if both >= floor * freq:
-                rules.append(x)
-            elif freq < min(below[x[:i] + x[i + 1 :]] for i in range(len(x))):
-                free[x] = freq
-        below = free
-        level = {x: c for x, c in _count(coded, _candidates(free)).items() if c[1] >= least}
-    return [sorted(names[i] for i in x) for x in rules]
-
-
-def _candidates(free: dict[tuple[int, ...], int]) -> list[tuple[int, ...]]:
-    """Sets one larger whose subsets are all in ``free``."""
-    heads: dict[tuple[int, ...], list[int]] = {}
-    for x in sorted(free):
-        heads.setdefault(x[:-1], []).append(x[-1])
-    out = []
-    for head, tails in heads.items():
-        for k, a in enumerate(tails):
-            for b in tails[k + 1 :]:
-                x = (*head, a, b)
-                if all(x[:i] + x[i + 1 :] in free for i in range(len(head))):
-                    out.append(x)
-    return out
-
-
-def _count(coded: DataFrame, candidates: list[tuple[int, ...]]) -> dict[tuple[int, ...], tuple[int, int]]:
-    """How many URLs, and bad ones, hold each candidate; tasks send sums."""
-    if not candidates:
-        return {}
-    shared = coded.sparkSession.sparkContext.broadcast(candidates)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree: dict = {}
-        for k, x in enumerate(shared.value):
-            at = tree
-            for i in x:
-                at = at.setdefault(i, {})
-            at[-1] = k
-        seen: dict[int, list[int]] = {}
-
-        def walk(at: dict, items: list[int], start: int, freq: int, both: int) -> None:
-            if -1 in at:
-                sums = seen.setdefault(at[-1], [0, 0])
-                sums[0] += freq
-                sums[1] += both
-                return
-            for j in range(start, len(items)):
-                if items[j] in at:
-                    walk(at[items[j]], items, j + 1, freq, both)
-
-        for batch in batches:
-            for items, freq, both in zip(batch["items"], batch["freq"], batch["both"], strict=True):
-                walk(tree, [int(i) for i in items], 0, int(freq), int(both))
-        yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["k", "freq", "both"]).astype("int64")
-
-    sums = coded.select("items", "freq", "both").mapInPandas(run, "k bigint, freq bigint, both bigint").groupBy("k").agg(F.sum("freq"), F.sum("both"))
-    found = {candidates[r[0]]: (r[1], r[2]) for r in sums.collect()}
-    shared.destroy()
-    return found
-
-
-def inverted(rules: list[list[str]]) -> dict[str, list[list[str]]]:
-    """Each rule under the one of its tokens that the fewest rules use, without that token."""
-    uses: dict[str, int] = {}
-    for rule in rules:
-        for t in rule:
-            uses[t] = uses.get(t, 0) + 1
-    out: dict[str, list[list[str]]] = {}
-    for rule in rules:
-        anchor = min(rule, key=lambda t: (uses[t], t))
-        out.setdefault(anchor, []).append([t for t in rule if t != anchor])
-    return out
-
-
-def matches(tokens: Column, rules: list[list[str]], spark) -> Column:
-    """Whether any rule is contained in the tokens."""
-    if not rules:
-        return F.lit(False)
+    known = _items(rows, least)
+    alone = F.col("both") >= floor * F.col("freq")
+    single = known.where(alone).select(F.array("item").alias("items")).distinct()
+    open_ = known.where(~alone & (F.col("freq") < n)).select("t", "item")
+    coded = rows.select("_r", "bad", F.explode("tokens").alias("t")).join(broadcast_checked(open_), "t")
+    coded = coded.groupBy("_r", "bad").agg(F.collect_set("item").alias("items"))
+    coded = materialize(coded.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(LABEL)))).otherwise(F.col("items")).alias("items")), "url-sets")
+    m = coded.count()
+    rules = single
+    if m >= least:
+        # Half below the count, so that rounding cannot move the limit.
+        sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / m).fit(coded).freqItemsets
+        rules = single.unionByName(_minimal(_confident(materialize(sets, "url-frequent"), floor)))
+    return materialize(rules, "url-rules"), known.select("t", "item")
+
+
+def _items(rows: DataFrame, least: int) -> DataFrame:
+    """Tokens with enough bad URLs: t, freq, both, item. Tokens of the same URLs share an item, the first of them."""
+    seen = rows.select("bad", F.explode("tokens").alias("t"), F.xxhash64("tokens").alias("_a"), F.xxhash64("tokens", F.lit(1)).alias("_b"))
+    sums = [F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ("_a", "_b")]  # 128 bits name the set of URLs
+    counts = seen.groupBy("t").agg(F.count(F.lit(1)).alias("freq"), F.sum(F.col("bad").cast("long")).alias("both"), *sums).where(F.col("both") >= least)
+    same = Window.partitionBy("freq", "both", "_a", "_b")  # all of them stand in one URL
+    return materialize(counts.select("t", "freq", "both", F.min("t").over(same).alias("item")), "url-tokens")
+
+
+def _confident(sets: DataFrame, floor: float) -> DataFrame:
+    """Frequent sets of two and more items whose share of bad URLs reaches the floor."""
+    marked = F.array_contains("items", LABEL)
+    key = F.array_sort(F.array_remove("items", LABEL)).alias("items")
+    both = sets.where(marked & (F.size("items") > 2)).select(key, F.col("freq").alias("both"))
+    every = sets.where(~marked & (F.size("items") > 1)).select(key, "freq")
+    return materialize(both.join(every, "items").where(F.col("both") >= floor * F.col("freq")).select("items"), "url-confident")
+
+
+def anchored(rules: DataFrame) -> DataFrame:
+    """Add ``anchor``: the item of a rule that the fewest rules use."""
+    parts = rules.select("items", F.explode("items").alias("t"))
+    uses = parts.groupBy("t").agg(F.count(F.lit(1)).alias("_n"))
+    return parts.join(uses, "t").groupBy("items").agg(F.min(F.struct("_n", "t"))["t"].alias("anchor"))
+
+
+def _minimal(rules: DataFrame) -> DataFrame:
+    """Rules without a smaller rule inside: candidates meet on the anchor of the smaller one."""
+    small = anchored(rules).select(F.col("items").alias("_small"), F.col("anchor").alias("t"))
+    large = rules.select("items", F.explode("items").alias("t"))
+    inside = (F.size("_small") < F.size("items")) & (F.size(F.array_except("_small", "items")) == 0)
+    return rules.join(large.join(small, "t").where(inside).select("items").distinct(), "items", "left_anti")
+
+
+def with_hits(rows: DataFrame, rules: DataFrame, known: DataFrame, sent: int = SENT_ROWS) -> DataFrame:
+    """Add ``_hit``: whether the items of the row's ``tokens`` hold a rule. Small rule sets are sent, larger ones joined."""
+    used = rules.select(F.explode("items").alias("item")).distinct()
+    known = materialize(known.join(used, "item", "left_semi"), "url-used")
+    index = materialize(anchored(rules), "url-anchors")
+    if not bounded(index, sent) or not bounded(known, sent):
+        return _joined_hits(rows, index, known)
     ship_by_value(__name__)
-    shared = spark.sparkContext.broadcast(inverted(rules))
+    lists: dict[str, list[list[str]]] = {}
+    for r in index.collect():  # at most ``sent`` rows
+        lists.setdefault(r["anchor"], []).append([t for t in r["items"] if t != r["anchor"]])
+    shared = rows.sparkSession.sparkContext.broadcast((lists, {r["t"]: r["item"] for r in known.collect()}))
 
     @F.pandas_udf("boolean")
     def hit(column: pd.Series) -> pd.Series:
-        index = shared.value
+        rests, item_of = shared.value
 
         def one(row) -> bool:
-            have = set(row)
-            return any(all(t in have for t in rest) for t in have for rest in index.get(t, ()))
+            have = {item_of[t] for t in row if t in item_of}
+            return any(all(t in have for t in rest) for t in have for rest in rests.get(t, ()))
 
         return column.map(one).astype(bool)
 
-    return hit(tokens)
+    return rows.withColumn("_hit", hit("tokens") if lists else F.lit(False))
+
+
+def _joined_hits(rows: DataFrame, index: DataFrame, known: DataFrame) -> DataFrame:
+    """The same by joins: items of distinct token lists, rules by their anchor."""
+    held = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("t")).join(known, "t")
+    held = held.groupBy("tokens").agg(F.collect_set("item").alias("_have"))
+    met = held.select("tokens", "_have", F.explode("_have").alias("anchor")).join(index, "anchor")
+    found = met.where(F.size(F.array_except("items", "_have")) == 0).select("tokens").distinct().withColumn("_hit", F.lit(True))
+    return rows.join(found, "tokens", "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -240,9 +224,9 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id",
         rows = df.select(*more, F.col(url).alias("u")).withColumn("_p", url_parts(F.col("u")))
         return with_tokens(rows.select("*", "_p.host", "_p.path").drop("_p"))
 
-    rules = mine(cut(labelled, F.col("bad")))
-    rows = cut(pages, F.col(page_id).alias("page_id")).withColumn("_rule", fixed_rule(F.col("host"), F.col("path")))
-    mined = F.when(matches(F.col("tokens"), rules, pages.sparkSession), "block").otherwise("allow")
+    rules, known = mine(cut(labelled, F.col("bad")))
+    rows = with_hits(cut(pages, F.col(page_id).alias("page_id")), rules, known).withColumn("_rule", fixed_rule(F.col("host"), F.col("path")))
+    mined = F.when(F.col("_hit"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", mined).alias("verdict"))
 
 
@@ -259,21 +243,35 @@ def op8_url_rules(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return judge_urls(pages, labelled_urls(pages, labels))
 
 
-
-
 _FITS = "WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN "
 _BY_LENGTH = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
 _RULE = "CASE " + " ".join(_FITS.format(h=h, p=p) + f"'{h + p}'" for _, h, p in _BY_LENGTH) + " END"
 _VERDICT = "CASE " + " ".join(_FITS.format(h=h, p=p) + f"'{v}'" for v, h, p in _BY_LENGTH) + " END"
+_SPREAD_SQL = tuple(
+    f"list_transform(list_filter({parts}, lambda x: x <> ''), lambda x: '{name}=' || x)"
+    for name, parts in (
+        ("part", "regexp_split_to_array(host, '[.@:]')"), ("seg", "string_split(path, '/')"), ("arg", "list_transform(fields, lambda x: regexp_extract(x, '^[^=]*'))"),
+        ("val", "list_filter(fields, lambda x: contains(x, '='))"), ("word", r"regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"),
+    )
+)
 ORACLE = f"""WITH p0 AS (SELECT row_number() OVER () AS rid, page_id, url AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
  p AS (SELECT rid, page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
- t AS (SELECT *, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct([{', '.join(TOKENS_SQL)}])) END AS tokens FROM p),
+ q AS (SELECT *, translate(host || '/' || path, '{_UPPER}', '{_LOWER}') AS low, regexp_split_to_array(regexp_extract(u, '[?]([^#]*)', 1), '[&;]') AS fields FROM p),
+ t AS (SELECT rid, page_id, host, path, CASE WHEN host = '' THEN [] ELSE list_distinct(list_concat([{', '.join(TOKENS_SQL)}], {', '.join(_SPREAD_SQL)})) END AS tokens FROM q),
  lb AS (SELECT doc_id, max(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
  lt AS (SELECT t.rid, tokens, bad FROM t JOIN lb ON TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})', 1) AS BIGINT) = lb.doc_id WHERE len(tokens) > 0),
- m AS (SELECT unnest(range(1, 1024)) AS m),
- sub AS (SELECT rid, array_to_string(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1), chr(1)) AS k FROM t, m WHERE m < (1 << len(tokens))),
- cnt AS (SELECT k, count(*) AS freq, count(*) FILTER (bad) AS both_ FROM sub JOIN lt USING (rid) GROUP BY k),
  tot AS (SELECT count(*) AS n, count(*) FILTER (bad) AS nbad FROM lt),
- r AS (SELECT k FROM cnt, tot WHERE nbad >= {MIN_COUNT} AND both_ >= ceil(greatest({MIN_SUPPORT}, ({MIN_COUNT} - 0.5) / n) * n) AND both_ >= greatest({MIN_CONFIDENCE}, {MIN_LIFT} * nbad / n) * freq),
- hit AS (SELECT DISTINCT rid FROM sub JOIN r USING (k))
+ li AS (SELECT n, nbad, ceil(greatest({MIN_SUPPORT}, ({MIN_COUNT} - 0.5) / n) * n) AS low, greatest({MIN_CONFIDENCE}, least({MIN_LIFT} * (nbad / n), greatest({MAX_FLOOR}, (1 + nbad / n) / 2))) AS floor_ FROM tot WHERE nbad >= {MIN_COUNT}),
+ tk AS (SELECT rid, bad, unnest(tokens) AS tok FROM lt),
+ k0 AS (SELECT tok, count(*) AS freq, count(*) FILTER (bad) AS both_, list(rid ORDER BY rid) AS cover FROM tk GROUP BY tok),
+ kn AS (SELECT tok, freq, both_, min(tok) OVER (PARTITION BY cover) AS item FROM k0, li WHERE both_ >= low),
+ mi AS (SELECT tok, item FROM kn, li WHERE both_ < floor_ * freq AND freq < n),
+ co AS (SELECT rid, bad, list_sort(list_distinct(list(item))) AS items FROM tk JOIN mi USING (tok) GROUP BY rid, bad),
+ sb AS (SELECT items, unnest(range(1, 1 << len(items))) AS m FROM co WHERE bad),
+ cb AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS k, count(*) AS both_ FROM sb GROUP BY 1),
+ cf AS (SELECT k, both_, count(*) AS freq FROM cb JOIN li ON both_ >= low JOIN co ON list_has_all(items, k) GROUP BY k, both_),
+ r AS (SELECT k FROM cf, li WHERE both_ >= floor_ * freq UNION ALL SELECT DISTINCT [item] FROM kn, li WHERE both_ >= floor_ * freq),
+ pt AS (SELECT rid, unnest(tokens) AS tok FROM t),
+ pi AS (SELECT rid, list_distinct(list(item)) AS have FROM pt JOIN kn USING (tok) GROUP BY rid),
+ hit AS (SELECT DISTINCT rid FROM pi JOIN r ON list_has_all(have, k))
 SELECT page_id, host, path, {_RULE} AS rule, coalesce({_VERDICT}, CASE WHEN hit.rid IS NULL THEN 'allow' ELSE 'block' END) AS verdict FROM t LEFT JOIN hit USING (rid)"""

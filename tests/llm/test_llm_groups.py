@@ -146,7 +146,7 @@ def test_url_rules_on_later_segments_keys_and_words(spark):
 
 
 def test_url_rules_equal_all_sets(spark):
-    from itertools import combinations
+    from itertools import combinations, product
 
     rnd = random.Random(5)
     rows = []
@@ -164,8 +164,43 @@ def test_url_rules_equal_all_sets(spark):
     floor = url_rules.confidence_floor(n, nbad)
     ok = {x for x, (f, b) in count.items() if b >= 5 and b >= floor * f}
     want = {x for x in ok if not any(y < x for y in ok)}
-    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
-    assert want and len(got) == len(want) and set(map(frozenset, got)) == want
+    rules, known = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    tokens_of = {}
+    for r in known.collect():
+        tokens_of.setdefault(r["item"], []).append(r["t"])
+    assert sorted(map(sorted, (ts for ts in tokens_of.values() if len(ts) > 1))) == [["a", "a2"]]
+    kept = [r["items"] for r in rules.collect()]
+    got = [frozenset(x) for items in kept for x in product(*(tokens_of[i] for i in items))]
+    assert want and len(got) == len(want) and set(got) == want and len(kept) < len(want)
+    # Both ways of matching agree with the rules.
+    pages = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "page_id long, tokens array<string>")
+    hit = [any(x <= set(t) for x in want) for t, _ in rows]
+    for sent in (url_rules.SENT_ROWS, 0):
+        assert [r["_hit"] for r in url_rules.with_hits(pages, rules, known, sent).orderBy("page_id").collect()] == hit
+
+
+def test_url_rules_equal_their_sql_where_rules_exist(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(8)
+    pages, labels = [], []
+    for i in range(700):
+        spam = rnd.random() < 0.3
+        host = f"{rnd.choice(['www', 'm', 'blog'])}.h{rnd.randrange(9)}.{rnd.choice(['net', 'info'])}"
+        tail = rnd.choice(["", "?ref=x", "?page=2&ref=x", "#top"]) + ("/Casino" if spam and rnd.random() < 0.5 else "")
+        pages.append((i, f"https://{host}/{rnd.choice(['en', 'it'])}/{i}{tail}"))
+        labels.append((i, int(not (spam or (host.startswith("m.") and "info" in host)))))
+    pages += [(701, None), (702, "none"), (3, pages[3][1])]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    q = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted(tuple(r) for r in url_rules.op8_url_rules(p, q).collect())
+    con = duckdb.connect()
+    p.write.parquet(f"{tmp_path}/pages")
+    q.write.parquet(f"{tmp_path}/labels")
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    want = sorted(tuple(r) for r in con.execute(url_rules.ORACLE).fetchall())
+    assert got == want and 20 < sum(r[4] == "block" for r in got) < 500
 
 
 def test_quotes(spark):
