@@ -15,7 +15,9 @@ repeated results; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,9 +130,12 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     if not _DIGIT.search(text):
         return out
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the farthest end up to each start
 
     def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+        before = bisect_left(starts, b)
+        return not before or reach[before - 1] <= a
 
     for kind, pattern in zip(ADDED, (_IBAN, _NATIONAL, _LOCAL_PHONE), strict=True):
         for m in pattern.finditer(text):

@@ -81,6 +81,37 @@ def test_pii_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == list(plain_spans(text)), text
 
 
+def test_pii_added_spans_keep_clear_of_all_base_spans():
+    rnd = random.Random(11)
+    parts = ["GB82 WEST 1234 5698 7654 32", "phone 030 1234567", "call +49 30 1234567", "a.b@x1.de", "4111 1111 1111 1111", "10.0.0.1", "ssn 123-45-6789", "x", "DE89370400440532013000@x.de"]
+    added = 0
+    for _ in range(300):
+        text = rnd.choice(["", " ", "; "]).join(rnd.choice(parts) for _ in range(rnd.randrange(1, 12)))
+        base = [(a, b) for _, a, b in pii.base_spans(text)]
+        more = [(k, a, b) for k, a, b, _ in pii.find(text) if k in pii.ADDED]
+        assert all(b <= x or y <= a for _, a, b in more for x, y in base), text
+        # A kind's matches that touch no base span and score enough are all kept.
+        for kind, pattern in zip(pii.ADDED[1:], (pii._NATIONAL, pii._LOCAL_PHONE), strict=True):
+            want = [(m.start(), m.end()) for m in pattern.finditer(text) if all(m.end() <= x or y <= m.start() for x, y in base)]
+            want = [(a, b) for a, b in want if pii.score(kind, text, a, b) >= pii.MIN_SCORE]
+            assert [(a, b) for k, a, b in more if k == kind] == want, text
+        added += len(more)
+    assert added > 50
+
+
+def test_pii_time_grows_with_the_text():
+    import time
+
+    def took(n: int) -> float:
+        text = "phone 030 1234567 mail a@b.de; " * n
+        start = time.perf_counter()
+        pii.find(text)
+        return time.perf_counter() - start
+
+    took(100)
+    assert min(took(16000) for _ in range(2)) < 10 * max(took(4000) for _ in range(2))
+
+
 def test_pii_method_adds_confirmed_spans(spark):
     texts = [
         "account DE89370400440532013000 is mine", "account DE89370400440532013001 is mine", "my ssn is 123-45-6789", "part 123-45-6789 of the plan",
