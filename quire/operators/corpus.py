@@ -50,6 +50,7 @@ def resolve_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """Resolve (item, name) against known (doc_id, position): the same id, else the first that contains or is contained.
 
     Containment runs as an equi-join on substrings of the lengths that occur, not as a comparison of all pairs.
+    Substrings compress so well that their shuffled size says little of their number, so the joins are by merge and none is sent whole.
     Names left without a match keep a null ``doc_id``.
     """
     lengths = [
@@ -72,21 +73,22 @@ def resolve_names(wanted: DataFrame, known: DataFrame) -> DataFrame:
             )
         )
 
-    names = wanted.select("name").where(F.length("name") > 0).distinct()
-    inner = names.select("name", F.explode(pieces("name", lengths[0])).alias("doc_id")).join(known, "doc_id")
+    parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as names are few bytes before they are cut
+    names = wanted.select("name").where(F.length("name") > 0).repartition(parts, "name").distinct()
+    inner = names.select("name", F.explode(pieces("name", lengths[0])).alias("doc_id")).join(known.hint("merge"), "doc_id")
     # Only the first known id per substring can win, so a substring that many ids share is one row before the join.
     outer = (
         known.select("doc_id", "position", F.explode(pieces("doc_id", lengths[1])).alias("name"))
         .groupBy("name")
         .agg(F.min(F.struct("position", "doc_id")).alias("k"))
         .select("name", "k.doc_id", "k.position")
-        .join(names, "name")
+        .join(names.hint("merge"), "name")
     )
     hits = inner.select("name", "doc_id", "position").unionByName(outer.select("name", "doc_id", "position"))
     best = hits.groupBy("name").agg(
         F.min(F.struct((F.col("name") != F.col("doc_id")).alias("inexact"), "position", "doc_id")).alias("m")
     )
-    return wanted.join(best.select("name", F.col("m.doc_id").alias("doc_id")), "name", "left")
+    return wanted.join(best.select("name", F.col("m.doc_id").alias("doc_id")).hint("merge"), "name", "left")
 
 
 def low_pass_rates(attempts: DataFrame, keys: list[str], at_least: int = 5, below: float = 0.3) -> DataFrame:

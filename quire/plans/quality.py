@@ -199,7 +199,7 @@ def guard_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT w.item, w.name, h.doc_id FROM w LEFT JOIN h ON h.item = w.item AND r = 1""",
 )
 def fuzzy_source_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "url"))
     known = p.select(F.col("url").alias("doc_id"), F.col("page_id").alias("position"))
     wanted = p.selectExpr(
         "page_id AS item",
