@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quire.operators import ordered
 from quire.operators.corpus import resolve_names
 
 
@@ -18,3 +19,13 @@ def test_name_pieces_are_not_broadcast(spark):
     assert "Broadcast" not in final_plan(found)
     got = {r.item: r.doc_id for r in found.collect()}
     assert got[7] == "https://host/7" and got[42] == "https://host/4"  # the first known id that the name holds
+
+
+def test_ranges_are_not_searched_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 1)
+    rows = spark.range(400).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 400).alias("v"), F.lit(1).alias("c"))
+    run = ordered.cumulative(rows, ["g"], "v", "c")
+    assert "_bounds" not in final_plan(run)  # a list of all ranges, looked through for every row
+    for g in (0, 1):
+        got = [(r.cum, r.total) for r in run.where(F.col("g") == g).orderBy("v").collect()]
+        assert got == [(i + 1, 200) for i in range(200)]
