@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quire.operators import ordered
+from quire.operators import ordered, search
 from quire.operators.corpus import resolve_names
 
 
@@ -29,3 +29,27 @@ def test_ranges_are_not_searched_row_by_row(spark, monkeypatch):
     for g in (0, 1):
         got = [(r.cum, r.total) for r in run.where(F.col("g") == g).orderBy("v").collect()]
         assert got == [(i + 1, 200) for i in range(200)]
+
+
+def test_pair_sums_are_spread_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_PAIRS", 10)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word"), "id").alias("text"))
+    asks = spark.createDataFrame([(1, "common word7"), (2, "common")], "query_id int, query string")
+    scores = search.bm25_scores(search.postings(docs), search.query_terms(asks))
+    assert "hashpartitioning(doc_id" in final_plan(scores) and scores.rdd.getNumPartitions() == 12  # 120 pairs, ten a task
+    assert scores.count() == 120
+
+
+def test_filled_lists_join_no_scores_by_document(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 > 0, "common").otherwise("rare").alias("text"))
+    asks = spark.createDataFrame([(1, "common"), (2, "rare"), (3, "common rare"), (4, "none")], "query_id int, query string")
+    seen = []
+    plain = search._unmatched
+    search._unmatched = lambda index, scores, *rest: seen.append(scores.columns) or plain(index, scores, *rest)
+    try:
+        top = search.bm25_topk(search.postings(docs), search.query_terms(asks), 5, match_only=False, queries=asks).collect()
+    finally:
+        search._unmatched = plain
+    assert "range" in seen[0]
+    got = {q: [r.doc_id for r in sorted(top, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert got == {1: [1, 2, 3, 5, 6], 2: [0, 4, 8, 12, 16], 3: [0, 4, 8, 12, 16], 4: [0, 1, 2, 3, 4]}
