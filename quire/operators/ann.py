@@ -140,7 +140,8 @@ class InvertedLists:
                 for a in range(0, rows.num_rows, 2048):
                     part = rows.slice(a, 2048)
                     own = part.column("row_id").to_numpy()
-                    best.add(np.round(matrix @ _matrix(part.column("vector").combine_chunks(), part.num_rows).T, 6) + 0.0, own.astype("U") if own.dtype == object else own)
+                    best.add(matrix @ _matrix(part.column("vector").combine_chunks(), part.num_rows).T, own.astype("U") if own.dtype == object else own)
+            best.settle()
             found = [] if best.ids is None else best.ids.tolist()
             return pa.Table.from_arrays([pa.array([ids[i] for i in best.query], q_arrow), pa.array(found, r_arrow), pa.array(best.score, pa.float64())], names=names)
 

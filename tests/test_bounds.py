@@ -1,5 +1,6 @@
 """Plans and steps whose memory and time must not grow faster than their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import ordered, search
@@ -53,3 +54,23 @@ def test_filled_lists_join_no_scores_by_document(spark):
     assert "range" in seen[0]
     got = {q: [r.doc_id for r in sorted(top, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2, 3, 4)}
     assert got == {1: [1, 2, 3, 5, 6], 2: [0, 4, 8, 12, 16], 3: [0, 4, 8, 12, 16], 4: [0, 1, 2, 3, 4]}
+
+
+def test_scores_are_held_in_pieces(spark, monkeypatch):
+    widest = []
+
+    class Watched(search._Best):
+        def add(self, scores, ids):
+            widest.append(scores.size)
+            super().add(scores, ids)
+
+    rnd = np.random.default_rng(3)
+    rows, asks = rnd.integers(-3, 4, (500, 4)).astype(float), rnd.integers(-3, 4, (20, 4)).astype(float)  # many equal scores
+    monkeypatch.setattr(search, "PIECE_SCORES", 640)
+    best = Watched(20, 6)
+    search.scan_pieces(best, asks, rows, np.arange(500))
+    best.settle()
+    assert max(widest) <= 640
+    for q in range(20):
+        want = sorted(zip(-(rows @ asks[q]), range(500)))[:6]
+        assert [(-s, i) for s, i in zip(best.score[best.query == q], best.ids[best.query == q])] == want
