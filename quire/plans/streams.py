@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +121,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ingested as micro-batches; then all batches come again, changed, from a source without a checkpoint."""
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    docs.repartitionByRange(3, "doc_id").write.parquet(f"{root}/in")
+    batch = math.ceil(docs.rdd.getNumPartitions() / 3)  # files of a micro-batch, each about as large as a split of the input
+    docs.repartitionByRange(3 * batch, "doc_id").write.parquet(f"{root}/in")
     store = ChunkStore(spark, f"{root}/store")
 
     def chunks(suffix: str):
@@ -132,7 +134,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         return chunk
 
     for n, suffix in enumerate(("", "!")):
-        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", batch).parquet(f"{root}/in")
         jobs.start_ingest(stream, store, f"{root}/checkpoint-{n}", chunks(suffix)).awaitTermination()
     parents = store.parents().groupBy("doc_id").agg(F.sum(F.length("content")).alias("n_chars"), F.count(F.lit(1)).alias("parents"))
     return parents.join(store.children().groupBy("doc_id").agg(F.count(F.lit(1)).alias("children")), "doc_id")

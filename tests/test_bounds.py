@@ -1,10 +1,15 @@
 """Plans and steps whose memory and time must not grow faster than their input."""
 
+import glob
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import ordered, search
 from quire.operators.corpus import resolve_names
+from quire.plans import streams
+from quire.plans.common import table
+from quire.session import shared_dir
 
 
 def final_plan(df) -> str:
@@ -74,3 +79,15 @@ def test_scores_are_held_in_pieces(spark, monkeypatch):
     for q in range(20):
         want = sorted(zip(-(rows @ asks[q]), range(500)))[:6]
         assert [(-s, i) for s, i in zip(best.score[best.query == q], best.ids[best.query == q])] == want
+
+
+def test_ingest_files_follow_the_input(spark, tiny):
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/ingest-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+    try:
+        splits = table(spark, tiny, "documents").select("doc_id", "text").rdd.getNumPartitions()
+        assert streams.stream_ingest(spark, tiny).count() == table(spark, tiny, "documents").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (folder,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/ingest-*")) - before
+    assert splits > 3 and len(glob.glob(f"{folder}/in/part-*")) >= splits
