@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.core import pin
 from quire.operators.runs import signed_ranks, wilcoxon_p
+from quire.session import materialize
 from quire.settings import DEFAULTS, Settings
 
 
@@ -27,11 +28,41 @@ def windows(text: Column, width: int) -> Column:
     return F.array_distinct(F.flatten(cut))
 
 
+#: Needles and their pieces up to this many rows are sent to every executor; more are joined by shuffle.
+BROADCAST_NEEDLES = 200_000
+
+
+def _near(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    keys = materialize(keys.distinct(), "needles")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_NEEDLES else keys, on, "left_semi")
+
+
 def containing(texts: DataFrame, needles: DataFrame, text_id: str, text: str, needle: str, width: int) -> DataFrame:
-    """Distinct ids of texts that contain some needle of exactly ``width`` characters, by an equi-join on windows."""
-    cut = pin(texts.select(text_id, text), "_w", windows(F.col(text), width)).select(text_id, F.explode("_w").alias("_w"))
-    keys = needles.where(F.length(needle) == width).select(F.col(needle).alias("_w")).distinct()
-    return cut.join(keys, "_w", "left_semi").select(text_id).distinct()
+    """Distinct ids of texts that contain some needle of exactly ``width`` characters.
+
+    A text is cut into pieces of half a needle, end to end. Every occurrence of a needle covers one of them whole, so only around
+    pieces that occur in a needle are all windows compared.
+    """
+    size = (width + 1) // 2
+    block, side = 128 // size * size or size, width - size
+    found = needles.where(F.length(needle) == width).select(F.col(needle).alias("_w"))
+    pieces = found.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(side + 1)), lambda i: F.substring("_w", i, F.lit(size)))).alias("_p"))
+    # Substring by character position is linear in the position, so the text is first cut into blocks, each with its surroundings.
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(block))
+    parts = texts.select(text_id, F.explode(F.transform(starts, lambda s: _around(F.col(text), s, block, side))).alias("_b"))
+    parts = parts.select(text_id, "_b.lead", "_b.part", F.explode(F.sequence(F.lit(0), F.lit(block - size), F.lit(size))).alias("_i"))
+    at = F.col("lead") + F.col("_i")
+    cut = parts.select(text_id, "part", at.alias("at"), F.substring(F.col("part"), at + 1, F.lit(size)).alias("_p")).where(F.length("_p") == size)
+    first = F.greatest(F.col("at") - side, F.lit(0)) + 1
+    near = _near(cut, pieces, "_p").select(text_id, "part", F.explode(F.sequence(first, F.col("at") + 1)).alias("_s"))
+    near = near.select(text_id, F.substring(F.col("part"), F.col("_s"), F.lit(width)).alias("_w"))
+    return _near(near, found, "_w").select(text_id).distinct()
+
+
+def _around(text: Column, start: Column, block: int, side: int) -> Column:
+    """A block of a text with up to ``side`` characters on either side, and how many of them stand before it."""
+    lead = F.least(start, F.lit(side))
+    return F.struct(lead.alias("lead"), F.substring(text, start - lead + 1, lead + block + side).alias("part"))
 
 
 def guard_hits(docs: DataFrame, facts: DataFrame, doc_id: str = "doc_id", text: str = "text", fact: str = "fact", cfg: Settings = DEFAULTS) -> DataFrame:

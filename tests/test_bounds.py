@@ -1,12 +1,13 @@
 """Plans and steps whose memory and time must not grow faster than their input."""
 
 import glob
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import ordered, search
-from quire.operators.corpus import resolve_names
+from quire.operators.corpus import containing, resolve_names
 from quire.plans import streams
 from quire.plans.common import table
 from quire.session import shared_dir
@@ -91,3 +92,21 @@ def test_ingest_files_follow_the_input(spark, tiny):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (folder,) = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/ingest-*")) - before
     assert splits > 3 and len(glob.glob(f"{folder}/in/part-*")) >= splits
+
+
+def test_containing_equals_a_plain_search(spark):
+    rnd = random.Random(5)
+    texts = [(i, "".join(rnd.choice("abé") for _ in range(rnd.choice([0, 3, 40, 300, 700])))) for i in range(120)] + [(900, None)]
+    for width in (1, 2, 5, 9, 20):
+        long = [t for _, t in texts if t and len(t) >= width]
+        cut = [t[i : i + width] for t in rnd.sample(long, 8) for i in (0, len(t) - width, rnd.randrange(len(t) - width + 1))]
+        needles = spark.createDataFrame([(n,) for n in [*cut, "b" * width, "short" * 9]], "needle string")
+        got = {r[0] for r in containing(spark.createDataFrame(texts, "doc_id int, text string"), needles, "doc_id", "text", "needle", width).collect()}
+        assert got == {i for i, t in texts if t and any(n in t for n in [*cut, "b" * width])}, width
+
+
+def test_only_pieces_of_needles_are_cut_into_windows(spark):
+    docs = spark.createDataFrame([(1, "x" * 5000), (2, "x" * 70 + "needle of twenty one" + "y" * 9)], "doc_id int, text string")
+    found = containing(docs, spark.createDataFrame([("needle of twenty one",)], "needle string"), "doc_id", "text", "needle", 20)
+    assert [r.doc_id for r in found.collect()] == [2]
+    assert "array_distinct" not in final_plan(found)  # all windows of a text, as before
