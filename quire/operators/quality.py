@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.core import adjacent, bind, pin, safe_ratio
 from quire.functions.markdown import FENCED_CODE, TABLE_ROW, TABLE_SEPARATOR, bare_line, split_lines, strip
-from quire.session import materialize
+from quire.session import materialize, ship_by_value
+
+ship_by_value(__name__)
 
 
 def squash(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct character pairs. The text is cut into characters once, so the cost is linear."""
-    def pairs(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-            F.array_distinct(
-                F.zip_with(
-                    F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))),
-                    F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                    lambda a, b: F.concat(a, b),
-                )
-            )
-        )
+def _pairs(text: str | None) -> np.ndarray | None:
+    """Distinct character pairs of a text, each as one number of its two code points, ascending."""
+    if text is None:
+        return None
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return np.unique((codes[:-1] << 21) + codes[1:])
 
-    return bind(F.filter(F.split(text, ""), lambda c: c != ""), pairs)
+
+@F.pandas_udf("parsed int, gold int, common int")
+def pair_counts(parsed: pd.Series, gold: pd.Series) -> pd.DataFrame:
+    """Numbers of distinct character pairs of two texts and of those in both; null for a null text."""
+    rows = []
+    for p, g in zip(map(_pairs, parsed), map(_pairs, gold), strict=True):
+        both = None if p is None or g is None else len(np.intersect1d(p, g, assume_unique=True))
+        rows.append((None if p is None else len(p), None if g is None else len(g), both))
+    return pd.DataFrame(rows, columns=["parsed", "gold", "common"], dtype="Int32")
 
 
 def heading_items(text: Column) -> Column:
@@ -77,20 +82,24 @@ def _share(parsed: Column, gold: Column) -> Column:
     return F.when(F.size(gold) == 0, F.lit(1.0)).otherwise(safe_ratio(found, F.size(gold)))
 
 
-def fidelity(pairs: DataFrame, parsed: str = "parsed", gold: str = "gold") -> DataFrame:
-    """Add text_recall, text_precision, heading, table, code and overall fidelity. Row-local."""
-    rows = pin(pairs, "_p", bigrams(squash(F.col(parsed))))
-    rows = pin(rows, "_g", bigrams(squash(F.col(gold))))
-    rows = rows.withColumn("_common", F.size(F.array_intersect("_p", "_g")))
-    p, g = F.size("_p"), F.size("_g")
+def text_fidelity(pairs: DataFrame, parsed: str = "parsed", gold: str = "gold") -> DataFrame:
+    """Add text_recall and text_precision. Row-local."""
+    rows = pin(pairs, "_c", pair_counts(squash(F.col(parsed)), squash(F.col(gold))))
+    p, g, common = F.col("_c.parsed"), F.col("_c.gold"), F.col("_c.common")
     rows = rows.withColumn(
         "text_recall",
-        F.when(g == 0, F.when(p == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(safe_ratio(F.col("_common"), g)),
-    ).withColumn("text_precision", F.when(p == 0, F.lit(1.0)).otherwise(safe_ratio(F.col("_common"), p)))
+        F.when(g == 0, F.when(p == 0, F.lit(1.0)).otherwise(F.lit(0.0))).otherwise(safe_ratio(common, g)),
+    ).withColumn("text_precision", F.when(p == 0, F.lit(1.0)).otherwise(safe_ratio(common, p)))
+    return rows.drop("_c")
+
+
+def fidelity(pairs: DataFrame, parsed: str = "parsed", gold: str = "gold") -> DataFrame:
+    """Add text_recall, text_precision, heading, table, code and overall fidelity. Row-local."""
+    rows = text_fidelity(pairs, parsed, gold)
     for name, items in (("heading", heading_items), ("table", table_shapes), ("code", code_blocks)):
         rows = pin(rows.drop("_p", "_g"), "_p", items(F.col(parsed)))
         rows = pin(rows, "_g", items(F.col(gold))).withColumn(name, _share(F.col("_p"), F.col("_g")))
-    return rows.drop("_p", "_g", "_common").withColumn(
+    return rows.drop("_p", "_g").withColumn(
         "overall", (F.col("heading") + F.col("table") + F.col("code")) / 3
     )
 

@@ -88,7 +88,7 @@ FID_SQL = f"""md AS (SELECT doc_id, lang, {MARKDOWN} AS md FROM documents), pr A
     f"WITH {FID_SQL} SELECT doc_id, round(text_recall, 6) AS text_recall, round(text_precision, 6) AS text_precision FROM fx",
 )
 def ngram_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.fidelity(parsed_pairs(spark, sf_dir))
+    rows = Q.text_fidelity(parsed_pairs(spark, sf_dir))
     return rows.select("doc_id", F.round("text_recall", 6).alias("text_recall"), F.round("text_precision", 6).alias("text_precision"))
 
 

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import ordered, search
+from quire.operators import quality as Q
 from quire.operators.corpus import containing, resolve_names
 from quire.plans import streams
 from quire.plans.common import table
@@ -110,3 +111,20 @@ def test_only_pieces_of_needles_are_cut_into_windows(spark):
     found = containing(docs, spark.createDataFrame([("needle of twenty one",)], "needle string"), "doc_id", "text", "needle", 20)
     assert [r.doc_id for r in found.collect()] == [2]
     assert "array_distinct" not in final_plan(found)  # all windows of a text, as before
+
+
+def test_pair_counts_equal_plain_sets(spark):
+    def plain(text):
+        squashed = " ".join((text or "").split())
+        return {squashed[i : i + 2] for i in range(len(squashed) - 1)}
+
+    texts = [("abab  c", "ab c"), ("", "xy"), ("a", ""), ("é\U0001f600é\U0001f600x", "\U0001f600é y"), ("same text", "same text")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)] + [(9, None, "xy")], "id int, parsed string, gold string")
+    found = Q.text_fidelity(rows)
+    assert found.columns == ["id", "parsed", "gold", "text_recall", "text_precision"]
+    got = {r.id: (r.text_recall, r.text_precision) for r in found.collect()}
+    for i, (p, g) in enumerate(texts):
+        a, b = plain(p), plain(g)
+        want = (len(a & b) / len(b) if b else float(not a), len(a & b) / len(a) if a else 1.0)
+        assert got[i] == want, i
+    assert got[9] == (0.0, 0.0)
