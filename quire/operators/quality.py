@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.core import adjacent, bind, pin, safe_ratio
 from quire.functions.markdown import FENCED_CODE, TABLE_ROW, TABLE_SEPARATOR, bare_line, split_lines, strip
@@ -26,14 +27,17 @@ def _pairs(text: str | None) -> np.ndarray | None:
     return np.unique((codes[:-1] << 21) + codes[1:])
 
 
-@F.pandas_udf("parsed int, gold int, common int")
+PAIR_COUNTS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("parsed", "gold", "common")])
+
+
+@F.pandas_udf(PAIR_COUNTS)
 def pair_counts(parsed: pd.Series, gold: pd.Series) -> pd.DataFrame:
     """Numbers of distinct character pairs of two texts and of those in both; null for a null text."""
     rows = []
     for p, g in zip(map(_pairs, parsed), map(_pairs, gold), strict=True):
         both = None if p is None or g is None else len(np.intersect1d(p, g, assume_unique=True))
         rows.append((None if p is None else len(p), None if g is None else len(g), both))
-    return pd.DataFrame(rows, columns=["parsed", "gold", "common"], dtype="Int32")
+    return pd.DataFrame(rows, columns=PAIR_COUNTS.names, dtype="Int32")
 
 
 def heading_items(text: Column) -> Column:
