@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,21 +60,20 @@ class ParseLedger:
         return self.spark.read.schema(self.schema).parquet(*done) if done else self.spark.createDataFrame([], self.schema)
 
     def add(self, attempts: DataFrame) -> DataFrame:
-        """Commit a round and return it as written."""
+        """Commit a round and return it as written. A column ``unit`` is kept beside the attempts; only the returned rows show it."""
         _, number = finished(self.spark, self.path)
         path = f"{self.path}/round-{number:06d}"
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.attempts().schema.fields]
-        attempts.select(*columns).write.parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+        rows = attempts.select(*columns, *[c for c in attempts.columns if c == "unit"])
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
 
-def _open(units: DataFrame, ledger: ParseLedger, level: str, backend: str, tries: int) -> DataFrame | None:
+def _open(units: DataFrame, keys: DataFrame, ledger: ParseLedger, level: str, backend: str, tries: int) -> DataFrame | None:
     """Units that no backend has settled and this one has neither answered nor failed ``tries`` times; None if there is none.
 
     Open units are found on keys and flags alone, and written; payloads are only read to be parsed.
     """
-    if not finished(ledger.spark, ledger.path)[0]:
-        return None if units.isEmpty() else units
     mine = F.col("backend") == backend
     closed = (
         ledger.attempts()
@@ -86,35 +86,62 @@ def _open(units: DataFrame, ledger: ParseLedger, level: str, backend: str, tries
         )
         .where(F.col("settled") | F.col("answered") | (F.col("tried") >= tries))
     )
-    left = materialize(units.select(*_KEYS).join(closed.select(*_KEYS), _KEYS, "left_anti"), "open-units")
+    left = materialize(keys.join(closed.select(*_KEYS), _KEYS, "left_anti"), "open-units")
     return None if left.isEmpty() else units.join(left, _KEYS, "left_semi")
 
 
-def _attempt(units: DataFrame, backend: Backend, level: str) -> DataFrame:
+def _attempt(units: DataFrame, backend: Backend, level: str, again: bool, on: bool) -> DataFrame:
+    """Attempts on ``units``. Those that may be asked ``again`` after an error, or go ``on`` to a further backend, carry their unit."""
     none = F.lit(None).cast("int")
     tables, fences = [F.col(c) if c in units.columns else none for c in ("tables", "fences")]
     rows = pin(backend.parse(units), "_text", F.when(F.col("error").isNull(), F.col("markdown")))
     given = F.col("_text").isNotNull()
     reasons: Column = F.when(given, parse_quality(F.col("_text"), tables, fences)) if backend.judged else F.lit(None)
     rows = pin(rows, "_reasons", F.coalesce(reasons, F.array().cast("array<string>")))
+    ok = given & (F.size("_reasons") == 0)
+    carried = ~ok & (F.lit(on) | (F.lit(again) & F.col("error").isNotNull()))
     return rows.select(
         F.lit(level).alias("level"), *_KEYS, F.lit(backend.name).alias("backend"), F.col("_text").alias("markdown"),
-        F.col("_reasons").alias("reasons"), "error", (given & (F.size("_reasons") == 0)).alias("ok"),
+        F.col("_reasons").alias("reasons"), "error", ok.alias("ok"), F.when(carried, F.struct(*units.columns)).alias("unit"),
     )
 
 
-def run_chain(units: DataFrame, backends: list[Backend], ledger: ParseLedger, level: str, tries: int = 2) -> None:
+def run_chain(
+    units: DataFrame, backends: list[Backend], ledger: ParseLedger, level: str, tries: int = 2, keys: DataFrame | None = None
+) -> None:
     """Rounds until no unit is open: each backend in order, and again for units at which it failed with an error.
 
     ``units`` is (doc_id, page, payload) with any further columns, one row per unit; optional ``tables`` and ``fences`` are the expected
     counts. A backend that answers badly is not asked again, one that fails is asked ``tries`` times.
+
+    In a first run a round hands the units that stay open on to the next one, so payloads are not shuffled for a round. A run that
+    goes on with attempts of an earlier one finds its units by the ledger. ``keys`` are the (doc_id, page) of the units, if they are
+    cheaper to come by than from these.
     """
+    keys = units.select(*_KEYS) if keys is None else keys
+    if not ledger.attempts().where(F.col("level") == level).isEmpty():
+        return _resumed_chain(units, keys, backends, ledger, level, tries)
+    left = units
+    for n, backend in enumerate(backends):
+        todo, bad = left, []
+        for attempt in range(1, tries + 1):
+            if keys.isEmpty():
+                break
+            done = ledger.add(_attempt(todo, backend, level, attempt < tries, n + 1 < len(backends)))
+            bad.append(done.where("NOT ok AND error IS NULL").select("unit.*"))
+            failed = done.where("NOT ok AND error IS NOT NULL")
+            todo, keys = failed.select("unit.*"), failed.select(*_KEYS)
+        left = reduce(DataFrame.unionByName, [*bad, todo])
+        keys = left.select(*_KEYS)
+
+
+def _resumed_chain(units: DataFrame, keys: DataFrame, backends: list[Backend], ledger: ParseLedger, level: str, tries: int) -> None:
     for backend in backends:
         for _ in range(tries):
-            todo = _open(units, ledger, level, backend.name, tries)
+            todo = _open(units, keys, ledger, level, backend.name, tries)
             if todo is None:
                 break
-            if ledger.add(_attempt(todo, backend, level)).where("error IS NOT NULL").isEmpty():
+            if ledger.add(_attempt(todo, backend, level, False, False).drop("unit")).where("error IS NOT NULL").isEmpty():
                 break
 
 
@@ -130,9 +157,13 @@ def parse_documents(docs: DataFrame, pages: DataFrame, backends: list[Backend],
     settled = ledger.attempts().where(F.col("ok") & (F.col("level") == "doc") & F.col("backend").isin([b.name for b in backends]))
     failed = whole.join(settled.select("doc_id"), "doc_id", "left_anti")
     paged = pages.where("doc_id IS NOT NULL AND page IS NOT NULL").drop("tables", "fences")
-    run_chain(failed.join(paged.select("doc_id"), "doc_id", "left_anti"), [corrector], ledger, "doc", tries)
-    todo = paged.join(failed.select("doc_id"), "doc_id", "left_semi")
-    run_chain(todo, [*backends, corrector], ledger, "page", tries)
+    # Written, so that open pages are found without their texts.
+    keys = materialize(paged.select(*_KEYS), "page-keys")
+    alone = failed.join(keys.select("doc_id"), "doc_id", "left_anti")
+    run_chain(alone, [corrector], ledger, "doc", tries, materialize(alone.select(*_KEYS), "lone-keys"))
+    lost = failed.select("doc_id")
+    todo = paged.join(lost, "doc_id", "left_semi")
+    run_chain(todo, [*backends, corrector], ledger, "page", tries, keys.join(lost, "doc_id", "left_semi").select(*_KEYS))
 
 
 def parsed_units(docs: DataFrame, pages: DataFrame, ledger: ParseLedger) -> DataFrame:

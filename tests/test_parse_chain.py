@@ -88,6 +88,25 @@ def test_reasons_are_kept(spark, inputs, tmp_path):
     assert first["b"] == (["table_loss", "heading_discontinuous"], None, False)
 
 
+def test_rounds_of_a_first_run_join_no_payloads(spark, inputs, tmp_path):
+    docs, pages = inputs
+    plans = []
+
+    def watched(b):
+        def parse(units):
+            plans.append(units._jdf.queryExecution().optimizedPlan().toString())
+            return b.parse(units)
+
+        return P.Backend(b.name, parse, b.judged)
+
+    ledger = P.ParseLedger(spark, str(tmp_path / "ledger"))
+    P.run_chain(docs.where("doc_id IS NOT NULL").withColumn("page", F.lit(P.WHOLE)), [watched(b) for b in chain()], ledger, "doc")
+    assert len(plans) == 3 and not any("Join" in p for p in plans)  # the failure of "c" is asked again
+    P.run_chain(pages.where("doc_id = 'b' AND page >= 0").drop("tables"), [watched(b) for b in (*chain(), backend(*EYES))], ledger, "page")
+    assert len(plans) == 8 and not any("Join" in p for p in plans)
+    assert ledger.attempts().columns == ["level", *P._KEYS, "backend", "markdown", "reasons", "error", "ok"]
+
+
 def test_interrupted_run_goes_on(spark, inputs, tmp_path):
     ledger = P.ParseLedger(spark, str(tmp_path / "ledger"))
 
