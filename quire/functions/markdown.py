@@ -9,7 +9,8 @@ from quire.functions.core import adjacent, array_median, bind
 from quire.settings import DEFAULTS, Settings
 
 # Fixed patterns. (?U) gives \s its Unicode meaning, (?d) makes \n the only line end.
-LINE_END_SPLIT = r"(?<=[\n\u000b\u000c\u001c-\u001e\u0085\u2028\u2029])|(?<=\r)(?!\n)"
+LINE_END = r"\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029"
+LINE = rf"[^{LINE_END}]*+(?:\r\n|[{LINE_END}])|[^{LINE_END}]++"
 HEADING = r"(?sU)^(#{1,6})\s+(.*)$"
 TABLE_ROW = r"(?dU)^\s*\|.*\|\s*$"
 TABLE_SEPARATOR = r"(?dU)^\s*\|[\s\-|]+\|\s*$"
@@ -32,7 +33,7 @@ def strip(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines with their ends kept, cut at every line boundary Unicode knows."""
-    return F.filter(F.split(text, LINE_END_SPLIT, -1), lambda x: F.length(x) > 0)
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
 def bare_line(line: Column) -> Column:

@@ -1,8 +1,8 @@
 """Recursive and heading-based splitting as row-local folds over arrays.
 
 A document is one row, so no step shuffles and none leaves the JVM: each separator level is a ``transform`` over
-the pieces of the level above, and inside it one ``aggregate`` cuts and re-packs a piece. The levels are separate
-projections, so the analyzer resolves them one at a time and the optimizer folds them together again.
+the pieces of the level above, and inside it one ``aggregate`` cuts and re-packs a piece. The levels are one fold over
+the separators, so a row is written once for all of them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from quire.settings import DEFAULTS, Settings
 RANGE_TYPE = "array<struct<start:int,stop:int>>"
 PIECE_TYPE = "array<struct<sec:int,content:string,start:int>>"
 PART_TYPE = "array<struct<s:string,len:int>>"
+WIDE = r"[\x{10000}-\x{10ffff}]"
 SECTION_TYPE = "array<struct<section_path:array<string>,content:string,start:int>>"
 
 
@@ -123,6 +124,26 @@ def _pack(parts: Column, sec: Column, start: Column, size: Column) -> Column:
     )
 
 
+def _packed(content: Column, separator: Column, sec: Column, start: Column, size: Column) -> Column:
+    """The same as :func:`_pack` over :func:`_parts` for a separator of one character and without protected ranges.
+
+    One match is a piece: as many whole parts as fit into ``size``, or one part above it.
+    """
+    sep = F.concat(F.lit(r"\Q"), separator, F.lit(r"\E"))
+    fits = F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}(?:(?<="), sep, F.lit(r")|\z)"))
+    pattern = F.concat(fits, F.lit("|[^"), sep, F.lit("]+"), sep, F.lit("?"))
+    zero = F.struct(start.cast("int").alias("pos"), _pieces().alias("out"))
+    return F.aggregate(
+        F.regexp_extract_all(content, pattern, F.lit(0)),
+        zero,
+        lambda acc, part: F.struct(
+            (acc["pos"] + F.length(part)).cast("int").alias("pos"),
+            F.concat(acc["out"], F.array(_piece(sec, part, acc["pos"]))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+
+
 def _hard_cut(piece: Column, size: Column, ranges: Column) -> Column:
     """Fixed-width cuts; a cut inside a protected range moves behind it and over the newlines that follow."""
     sec, content, start = piece["sec"], piece["content"], piece["start"]
@@ -166,27 +187,47 @@ def _hard_cut(piece: Column, size: Column, ranges: Column) -> Column:
     return F.when(F.size(ranges) == 0, plain).otherwise(moving)
 
 
+def _above(content: Column, size: Column) -> Column:
+    """Longer than ``size``; characters are only counted where there are more bytes than that."""
+    return (F.octet_length(content) > size) & (F.length(content) > size)
+
+
 def _level(pieces: Column, separator: Column, size: Column, ranges: Column) -> Column:
     """One step down: pieces above ``size`` that hold the separator are cut at it and packed again."""
+
+    def plain(p: Column) -> Column:
+        # Characters of two UTF-16 units beside others make the matcher recurse, so such texts are packed part by part.
+        free = ~overlaps(p["start"], p["start"] + F.length(p["content"]), _of(ranges, p))
+        return (F.length(separator) == 1) & free & ~p["content"].rlike(WIDE)
+
+    def cut(p: Column) -> Column:
+        parts = _parts(p["content"], separator, p["start"], _of(ranges, p))
+        return F.when(plain(p), _packed(p["content"], separator, p["sec"], p["start"], size)).otherwise(
+            _pack(parts, p["sec"], p["start"], size)
+        )
+
     return F.flatten(
         F.transform(
             pieces,
-            lambda p: F.when(
-                (F.length(p["content"]) <= size) | ~F.contains(p["content"], separator), F.array(p)
-            ).otherwise(
-                _pack(_parts(p["content"], separator, p["start"], _of(ranges, p)), p["sec"], p["start"], size)
-            ),
+            lambda p: F.when(_above(p["content"], size) & F.contains(p["content"], separator), cut(p)).otherwise(F.array(p)),
         )
     )
 
 
+def _levels(pieces: Column, separators: Column, size: Column, ranges: Column) -> Column:
+    """All steps down, in one fold over the separators; texts without a piece above ``size`` are passed on."""
+    return F.aggregate(
+        separators,
+        pieces,
+        lambda p, sep: F.when(F.exists(p, lambda x: _above(x["content"], size)), _level(p, sep, size, ranges)).otherwise(p),
+    )
+
+
 def _last_level(pieces: Column, size: Column, ranges: Column) -> Column:
     return F.flatten(
         F.transform(
             pieces,
-            lambda p: F.when(F.length(p["content"]) <= size, F.array(p)).otherwise(
-                _hard_cut(p, size, _of(ranges, p))
-            ),
+            lambda p: F.when(_above(p["content"], size), _hard_cut(p, size, _of(ranges, p))).otherwise(F.array(p)),
         )
     )
 
@@ -197,7 +238,7 @@ def _of(ranges: Column, piece: Column) -> Column:
 
 
 def _lone_heading(content: Column) -> Column:
-    return ~F.contains(content, F.lit("\n")) & content.rlike(r"(?U)^#{1,6}\s")
+    return F.startswith(content, F.lit("#")) & ~F.contains(content, F.lit("\n")) & content.rlike(r"(?U)^#{1,6}\s")
 
 
 def _follows(out: Column, piece: Column) -> Column:
@@ -278,7 +319,7 @@ def _code_and_tables(texts: Column, tables: Column) -> Column:
 
 
 def _whole(texts: Column) -> Column:
-    return F.filter(F.transform(texts, lambda t, i: _piece(i, t, F.lit(0))), lambda p: F.length(p["content"]) > 0)
+    return F.filter(F.transform(texts, lambda t, i: _piece(i, t, F.lit(0))), lambda p: p["content"] != "")
 
 
 def split_sections(
@@ -308,13 +349,12 @@ def split_sections(
         step = step.withColumn("_tables", protect_tables)
         step = pin(step, "_ranges", built(_code_and_tables, "_texts", "_tables")).drop("_tables")
     step = pin(step, "_p", built(_whole, "_texts"))
-    for separator in separators:
-        step = pin(step.withColumn("_sep", F.lit(separator)), "_p", built(_level, "_p", "_sep", "_size", "_ranges"))
+    step = pin(step.withColumn("_seps", F.array(*map(F.lit, separators))), "_p", built(_levels, "_p", "_seps", "_size", "_ranges"))
     step = pin(step, "_p", built(_last_level, "_p", "_size", "_ranges"))
     step = pin(step, "_p", built(_join_lone_headings, "_p"))
     step = pin(step, "_p", built(_join_blank_after_code, "_p", "_ranges"))
     step = pin(step, out, built(_overlap, "_p", "_ranges", "_over"))
-    return step.drop("_texts", "_sep", "_size", "_over", "_ranges", "_p")
+    return step.drop("_texts", "_seps", "_size", "_over", "_ranges", "_p")
 
 
 def recursive_split(
@@ -372,7 +412,7 @@ def heading_sections(text: Column, max_level: int = DEFAULTS.max_heading_level)
             )
             lead = F.substring(text, F.lit(1), F.element_at(p, 1)["start"])
             head = F.when(
-                strip(lead) != "",
+                lead.rlike(r"(?U)\S"),
                 F.array(
                     F.struct(
                         F.array().cast("array<string>").alias("section_path"),
@@ -399,8 +439,7 @@ def _join_lone_sections(sections: Column) -> Column:
     """A section without a body joins the one before it."""
 
     def lone(content: Column) -> Column:
-        body = F.when(F.contains(content, F.lit("\n")), F.regexp_replace(content, r"^[^\n]*\n", "")).otherwise("")
-        return (strip(body) == "") & (strip(content) != "")
+        return ~content.rlike(r"(?U)\A[^\n]*+\n\s*+\S") & content.rlike(r"(?U)\S")
 
     def step(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)

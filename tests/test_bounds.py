@@ -6,6 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from quire.functions.splitting import recursive_split
 from quire.operators import ordered, search
 from quire.operators import quality as Q
 from quire.operators.corpus import containing, resolve_names
@@ -128,3 +129,15 @@ def test_pair_counts_equal_plain_sets(spark):
         want = (len(a & b) / len(b) if b else float(not a), len(a & b) / len(a) if a else 1.0)
         assert got[i] == want, i
     assert got[9] == (0.0, 0.0)
+
+
+def test_all_separators_are_one_step_of_the_plan(spark):
+    texts = [(1, "ab " * 400), (2, "x" * 50 + " " + "yz " * 30 + "\n\n\nend"), (3, "é\U0001f600 " * 200), (4, "")]
+    rows = recursive_split(spark.createDataFrame(texts, "i int, t string"), "t", 20)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") <= 8  # a step for every separator writes each row as often
+    got = {r.i: r.pieces for r in rows.collect()}
+    for i, t in texts:
+        assert "".join(p.content for p in got[i]) == t and all(t[p.start : p.start + len(p.content)] == p.content for p in got[i])
+    assert {len(p.content) for p in got[1]} == {18, 12} and [len(p.content) for p in got[2]][:4] == [20, 20, 11, 18]
+    assert {len(p.content) for p in got[3]} == {18, 6}
