@@ -95,7 +95,8 @@ def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "outcomes",
     )
-    most = outcomes.agg(F.max("seq")).first()[0] or 0
+    most, rows = outcomes.agg(F.max("seq"), F.count(F.lit(1))).first()
+    most, buckets = most or 0, max(1024, rows // 50_000)  # a bucket's rows stay few however many there are
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", breaker.ROCKS)
     try:
@@ -103,7 +104,7 @@ def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             low, high = most * part // BREAKER_PARTS, most * (part + 1) // BREAKER_PARTS
             outcomes.where((F.col("seq") > low - 2) & (F.col("seq") <= high)).write.mode("append").parquet(f"{root}/in")  # two rows come again
             stream = spark.readStream.schema(outcomes.schema).parquet(f"{root}/in")
-            breaker.start_breaker(stream, f"{root}/out", f"{root}/checkpoint", late="3650 days").awaitTermination()
+            breaker.start_breaker(stream, f"{root}/out", f"{root}/checkpoint", late="3650 days", buckets=buckets).awaitTermination()
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

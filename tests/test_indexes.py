@@ -1,8 +1,10 @@
 """Approximate vectors, keyed tables, snapshots, batches that come again, breakers, unmatched documents."""
 
+import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from quire.operators.search import _unmatched, dense_topk
 from quire.sources.lookup import KeyedTable
 from quire.sources.snapshots import SnapshotStore
 from quire.sources.store import ChunkStore
-from quire.streaming.breaker import follow
+from quire.streaming.breaker import CHANGES, ROCKS, follow, follow_bucket, start_breaker
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +116,60 @@ def test_breaker_follows_runs():
     assert follow(9, True, rows(bad, good), 3) == (0, True, [])
 
 
+def test_breakers_of_a_bucket_follow_runs_like_single_ones():
+    rnd = random.Random(1)
+    for _ in range(40):
+        plain, sent, state = {}, {}, ([], [], [], [], [])
+        for _ in range(4):
+            rows, opened = [], []
+            for key in rnd.sample(["a", "b", None, "c", "d"], rnd.randint(1, 5)):
+                failures, last, is_open = plain.get(key, (0, 0, False))
+                new = [(last + 1 + i, rnd.random() < 0.4, rnd.random() < 0.05, 1000 * (last + 1 + i)) for i in range(rnd.randint(0, 7))]
+                sent.setdefault(key, []).extend(new)
+                rows += [(key, *r) for r in new + rnd.sample(sent[key], min(len(sent[key]), 2))]
+                if new:
+                    failures, is_open, at = follow(failures, is_open, [r[:3] for r in new], 3)
+                    plain[key] = (failures, new[-1][0], is_open)
+                    opened += [(key, seq) for seq in at]
+            rnd.shuffle(rows)
+            after, got = follow_bucket(state, pd.DataFrame(rows, columns=["backend", "seq", "ok", "fatal", "at"]), 3, 600, 5)
+            state = after or state
+            states = dict(zip(state[0], zip(*state[1:], strict=True), strict=True))
+            assert {key: s[:3] for key, s in states.items()} == plain
+            assert sorted(map(tuple, got.itertuples(index=False)), key=str) == sorted(opened, key=str)
+            assert all(states[key][3] == max(1000 * seq + 600, 6) for key, seq in opened)
+
+
+def test_breakers_share_a_state_and_close_one_by_one(spark, tmp_path):
+    """600 keys cost at most 8 values of state; a stopped stream goes on, with timers of several keys in a bucket."""
+    early, late_on, big = 1_700_000_000, 1_700_010_000, 2**60 + 1
+
+    def run(rows):
+        schema = "backend long, seq long, ok boolean, category string, ts timestamp"
+        frame = spark.createDataFrame([(k, s, ok, "", dt.datetime.fromtimestamp(at, dt.timezone.utc)) for k, s, ok, at in rows], schema)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        job = start_breaker(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint"), late="0 seconds", buckets=8)
+        job.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 16  # states and timers
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        keys = [None, big, *range(598)]
+        hours = {k: late_on if k is not None and k % 2 == 0 else early for k in keys}  # even ones open late and stay open
+        run([(k, s, False, hours[k] + s) for k in keys for s in (2, 1, 3)])
+        run([(k, s, False, late_on + 10 + s) for k in keys for s in (3, 4, 5, 6)])
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted(map(tuple, spark.read.schema(CHANGES.format("bigint")).parquet(str(tmp_path / "out")).collect()), key=str)
+    odd = [k for k in keys if hours[k] == early]
+    want = [(k, 3, "open") for k in keys] + [(k, 3, "trial") for k in odd] + [(k, 6, "open") for k in odd]
+    assert got == sorted(want, key=str)
+
+
 def test_unmatched_documents_equal_a_plain_list(spark):
     rnd = random.Random(4)
     ids = sorted(rnd.sample(range(100_000), 5200))
