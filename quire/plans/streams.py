@@ -97,8 +97,12 @@ def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     most, rows = outcomes.agg(F.max("seq"), F.count(F.lit(1))).first()
     most, buckets = most or 0, max(1024, rows // 50_000)  # a bucket's rows stay few however many there are
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", breaker.ROCKS)
+    # Every partition of the state is opened and committed in every batch, so it gets at least eight buckets.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    settings = {"spark.sql.streaming.stateStore.providerClass": breaker.ROCKS, "spark.sql.shuffle.partitions": str(parts)}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         for part in range(BREAKER_PARTS):
             low, high = most * part // BREAKER_PARTS, most * (part + 1) // BREAKER_PARTS
@@ -106,10 +110,11 @@ def circuit_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
             stream = spark.readStream.schema(outcomes.schema).parquet(f"{root}/in")
             breaker.start_breaker(stream, f"{root}/out", f"{root}/checkpoint", late="3650 days", buckets=buckets).awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
     changes = spark.read.schema(breaker.CHANGES.format("bigint")).parquet(f"{root}/out")
     return changes.where("state = 'open'").groupBy("backend").agg(F.min("seq").alias("opened_at"))
 
