@@ -36,6 +36,24 @@ def test_dense_topk_in_slices(spark, monkeypatch):
     assert {tuple(r) for r in dense_topk(rows, q, 3).collect()} == whole and len(whole) == 180
 
 
+def test_dense_topk_of_others(spark, monkeypatch):
+    # Ids that come twice, in slices of queries: no row of the query's own id is found, all others are.
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(90, 4)).round(1)
+    ids = [i % 70 for i in range(90)]
+    rows = spark.createDataFrame([(n, r.tolist()) for n, r in zip(ids, v)], "chunk_id long, vector array<double>").repartition(3)
+    q = rows.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(search, "SLICE_ROWS", 11)
+    monkeypatch.setattr(search, "PIECE_SCORES", 100)
+    got = {}
+    for r in dense_topk(rows, q, 5, write_blocks=True, others=True).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.chunk_id, r.score)
+    s = np.round(v @ v.T, 6)
+    for i in range(70):
+        want = sorted((-s[a, b], ids[b]) for a in range(90) if ids[a] == i for b in range(90) if ids[b] != i)[:5]
+        assert [got[i][k + 1] for k in range(5)] == [(n, -x) for x, n in want]
+
+
 def brute_bm25(docs, query, idf="lucene"):
     toks = {i: re.findall(r"\w+", t.lower()) for i, t in docs}
     n, avg = len(docs), sum(map(len, toks.values())) / len(docs)
