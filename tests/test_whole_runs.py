@@ -41,3 +41,8 @@ def test_a_vector_without_numbers_finds_nothing(spark, vectors, tmp_path):
     one_more = write(spark, tmp_path, [(61, None, 0)])
     mrr = {d: {r.metric: r for r in all_queries()["run_significance"](spark, d).collect()}["mrr"] for d in (vectors, one_more)}
     assert mrr[one_more].pairs == 61 and mrr[one_more].a == pytest.approx(mrr[vectors].a * 60 / 61, abs=2e-6)
+
+
+def test_gate_is_over_every_vector(spark, vectors):
+    rows, same = both(spark, vectors, "metric_gate")
+    assert same and sorted(r.metric for r in rows) == ["c0", "c1", "c2", "c3"]
