@@ -46,3 +46,16 @@ def test_a_vector_without_numbers_finds_nothing(spark, vectors, tmp_path):
 def test_gate_is_over_every_vector(spark, vectors):
     rows, same = both(spark, vectors, "metric_gate")
     assert same and sorted(r.metric for r in rows) == ["c0", "c1", "c2", "c3"]
+
+
+def test_boost_is_chosen_over_every_vector(spark, vectors, tmp_path):
+    rows, same = both(spark, vectors, "best_boost")
+    one_more = write(spark, tmp_path, [(61, None, 0)])
+    found = round(rows[0].recall_at_k * 60)
+    assert same and found > 0 and rows[0].recall_at_k == pytest.approx(found / 60, abs=1e-6)
+    assert all_queries()["best_boost"](spark, one_more).first().recall_at_k == pytest.approx(found / 61, abs=1e-6)
+
+
+def test_boost_with_ids_that_come_twice(spark, vectors, tmp_path):
+    twice = write(spark, tmp_path, [(i, [0.1 * i, 1.0, -1.0, 0.5, 0.0, 2.0], 1) for i in (3, 7, 8, 40)])
+    assert both(spark, twice, "best_boost")[1]
